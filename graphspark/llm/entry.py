@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
+from .mixing import op1_mixing
 from .packing import op6_packing
+from .quality import op10_quality
 from .simhash import op2_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op6_packing)}
+    return {f.__name__: f for f in (op1_mixing, op2_simhash, op6_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**mixing.SQL}
