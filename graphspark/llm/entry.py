@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from . import mixing
 from .mixing import op1_mixing
 from .packing import op6_packing
+from .orderhash import op5_orderhash
 from .quality import op10_quality
 from .simhash import op2_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_simhash, op6_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_mixing, op2_simhash, op5_orderhash, op6_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
