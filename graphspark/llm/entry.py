@@ -12,6 +12,7 @@ from .maxscore import op4_maxscore
 from .mixing import op1_mixing
 from .orderhash import op5_orderhash
 from .packing import op6_packing
+from .ppm import op7_ppm
 from .quality import op10_quality
 from .simhash import op2_simhash
 from .urlfilter import op3_urlfilter
@@ -19,7 +20,7 @@ from .warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_simhash, op3_urlfilter, op4_maxscore, op5_orderhash, op6_packing, op8_chat, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_mixing, op2_simhash, op3_urlfilter, op4_maxscore, op5_orderhash, op6_packing, op7_ppm, op8_chat, op9_warc, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
