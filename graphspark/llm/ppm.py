@@ -143,7 +143,7 @@ class Lookup:
     """Positions of unsigned 64-bit keys, by open addressing, for arrays of keys at a time."""
 
     def __init__(self, keys: np.ndarray):
-        bits = max(4, int(2 * len(keys)).bit_length())
+        bits = max(4, int(2 * len(keys) - 1).bit_length()) if len(keys) else 4
         self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
         self.table = np.full(1 << bits, _EMPTY, dtype=np.uint64)
         self.place = np.full(1 << bits, -1, dtype=np.int32)
@@ -253,8 +253,8 @@ class Trie:
         return out
 
 
-def model_tables(docs: DataFrame, training: Column, order: int = ORDER, max_nodes: int = MAX_NODES, text_col: str = "text") -> tuple[DataFrame, Trie]:
-    """Counts (word, n) of the training documents' tokens, the end mark as the empty word, and the trie."""
+def model_tables(docs: DataFrame, training: Column, order: int = ORDER, max_nodes: int = MAX_NODES, text_col: str = "text") -> tuple[DataFrame, tuple[np.ndarray, ...]]:
+    """Counts (word, n) of the training documents' tokens, the end mark as the empty word, and the trie's nodes."""
     rows = docs.filter(training).select(F.col(text_col).cast("string").alias("text"))
     counts = materialize(rows.mapInArrow(_counted(order), "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n")), "lm-counts")
     words = counts.filter("word IS NOT NULL").select("word", "n")
@@ -271,8 +271,10 @@ def model_tables(docs: DataFrame, training: Column, order: int = ORDER, max_node
     context = F.expr("(key & shiftleft(255L, 56)) | shiftright(key & (shiftleft(1L, 56) - 1), 8)")
     counted = nodes.select("key", F.col("seen").alias("n"), kept.alias("kept"), context.alias("context"))
     totals = counted.groupBy("context").agg(F.sum("n").alias("total"), F.max("kept").alias("any")).filter("any")
-    found = counted.filter("kept").join(totals, "context").select("key", "n", "total").toPandas().sort_values("key")
-    return words, Trie(found["key"].to_numpy().astype(np.uint64), found["n"].to_numpy().astype(np.int64), found["total"].to_numpy().astype(np.int64), order)
+    found = counted.filter("kept").join(totals, "context").select("key", "n", "total").toArrow()  # at most max_nodes rows
+    keys = found["key"].to_numpy()
+    order_ = np.argsort(keys)
+    return words, (keys[order_].astype(np.uint64), found["n"].to_numpy()[order_], found["total"].to_numpy()[order_])
 
 
 def _bin(n: str) -> Column:
@@ -308,13 +310,29 @@ def _at_least(counted: DataFrame, most: int) -> DataFrame | None:
 _SCORED = "row long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, score double, tail array<struct<word: binary, n: long>>"
 
 
+class Shared:
+    """What tasks score with: the trie's nodes and the hot words as arrays, from which each Python worker builds its tables once."""
+
+    def __init__(self, nodes: tuple[np.ndarray, ...], order: int, words: pa.Array, logs: np.ndarray, end: float, end_known: int):
+        self.nodes, self.order, self.words, self.logs, self.end, self.end_known = nodes, order, words, logs, end, end_known
+        self._built = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_built": None}
+
+    def tables(self) -> tuple[Trie, dict[bytes, float], float, int]:
+        if self._built is None:
+            self._built = Trie(*self.nodes, self.order), dict(zip(self.words.to_pylist(), self.logs.tolist())), self.end, self.end_known
+        return self._built
+
+
 def _scorer(shared, order: int):
-    """shared: a broadcast of (trie, log10 of the probability of each hot word, that of the end mark, whether it is known)."""
+    """shared: a broadcast of Shared."""
     tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("hot_known", pa.int64()), ("hot_base", pa.float64()), ("score", pa.float64()), ("tail", tail_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, hot, end, end_known = shared.value
+        trie, hot, end, end_known = shared.value.tables()
         row = TaskContext.get().partitionId() << 33
         buffer: list[bytes] = []
         owners: list[int] = []
@@ -362,14 +380,15 @@ def score(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES, hot_w
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
     fold = crc32_of_id(id_col) % FOLDS
-    words, trie = model_tables(docs, fold != 0, order, max_nodes, text_col)
+    words, nodes = model_tables(docs, fold != 0, order, max_nodes, text_col)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     divisor = total.n + SMOOTH * (total.v + 1)
     end = words.filter(F.octet_length("word") == 0).select("n").first()
     short = _at_least(words.filter(F.octet_length("word").between(1, HOT_BYTES)), hot_words)
-    hot = short.select("word", F.log10((F.col("n") + SMOOTH) / divisor).alias("log")).toPandas() if short is not None else None
-    table_ = dict(zip(map(bytes, hot["word"]), hot["log"].tolist())) if hot is not None else {}
-    shared = spark.sparkContext.broadcast((trie, table_, float(np.log10(((end.n if end else 0) + SMOOTH) / divisor)), int(bool(end))))
+    hot = short.select("word", F.log10((F.col("n") + SMOOTH) / divisor).alias("log")).toArrow() if short is not None else pa.table({"word": pa.array([], pa.binary()), "log": pa.array([], pa.float64())})
+    end_log = float(np.log10(((end.n if end else 0) + SMOOTH) / divisor))
+    # At most max_nodes nodes of 24 bytes and hot_words words of HOT_BYTES bytes.
+    shared = spark.sparkContext.broadcast(Shared(nodes, order, hot["word"].combine_chunks(), hot["log"].to_numpy(), end_log, int(bool(end))))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"), (fold == 0).alias("held_out"))
     scored = materialize(rows.mapInArrow(_scorer(shared, order), _SCORED), "lm-scored")
     tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", F.col("t.n").alias("times"))
