@@ -29,6 +29,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
+from math import fsum
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +49,7 @@ SMOOTH = 0.1
 #: Bytes that UTF-8 never uses: before the text, and its end.
 BEFORE, END = b"\xfe", b"\xff"
 _PIECE = 1 << 20
-_FLUSH = 400_000
+_FLUSH = 250_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -110,7 +112,7 @@ def _counted(order: int):
                 total.append(np.unique(joined[keep], return_counts=True))
                 buffer.clear()
                 held = 0
-            if len(total) > 8:
+            if len(total) > 4:
                 total[:] = [_summed(total)]
 
         for batch in batches:
@@ -121,12 +123,12 @@ def _counted(order: int):
                 for piece in pieces(words, order):
                     buffer.append(piece)
                     held += len(piece)
-                    if held >= 4 * _PIECE:
+                    if held >= 2 * _PIECE:
                         gather()
                 if len(seen) > _FLUSH:
                     yield words_out(seen)
                     seen.clear()
-            if sum(len(t[0]) for t in total) > 16 * _FLUSH:
+            if sum(len(t[0]) for t in total) > 12 * _FLUSH:
                 yield from grams_out(_summed(total))
                 total.clear()
         gather()
@@ -162,8 +164,9 @@ class Lookup:
         """The position of every key, or -1."""
         at = self._home(keys)
         there = self.table[at]
-        out = np.where(there == keys, self.place[at], np.int32(-1))
-        live = np.flatnonzero((there != keys) & (there != _EMPTY))
+        hit = there == keys
+        out = np.where(hit, self.place[at], np.int32(-1))
+        live = np.flatnonzero(~hit & (there != _EMPTY))
         at = at[live]
         while len(live):
             at = (at + 1) & self.mask
@@ -317,12 +320,10 @@ class Shared:
         self.nodes, self.order, self.words, self.logs, self.end, self.end_known = nodes, order, words, logs, end, end_known
         self._built = None
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_built": None}
-
     def tables(self) -> tuple[Trie, dict[bytes, float], float, int]:
         if self._built is None:
             self._built = Trie(*self.nodes, self.order), dict(zip(self.words.to_pylist(), self.logs.tolist())), self.end, self.end_known
+            self.nodes = self.words = self.logs = None
         return self._built
 
 
@@ -351,7 +352,10 @@ def _scorer(shared, order: int):
 
         for batch in batches:
             scores, held = np.zeros(batch.num_rows), 0
-            n_tokens, known, base, tails = [], [], [], []
+            n_tokens, known, base = [], [], []
+            tail_words: list[bytes] = []
+            tail_times: list[int] = []
+            ends = [0]
             for i, text in enumerate(batch.column(1)):
                 words = normal(text.as_py())
                 for piece in pieces(words, order):
@@ -361,16 +365,22 @@ def _scorer(shared, order: int):
                     if held >= _PIECE:
                         flush(scores)
                         held = 0
-                logs = [hot.get(w) for w in words]
-                rest = [w for w, x in zip(words, logs) if x is None]
+                logs = list(map(hot.get, words))
+                misses = logs.count(None)
+                if misses:
+                    rest = Counter(compress(words, (x is None for x in logs)))
+                    tail_words.extend(rest)
+                    tail_times.extend(rest.values())
+                ends.append(len(tail_words))
                 n_tokens.append(len(words) + 1)
-                known.append(len(words) - len(rest) + end_known)
-                base.append(sum(x for x in logs if x is not None) + end)
-                tails.append([{"word": w, "n": n} for w, n in Counter(rest).items()])
+                known.append(len(words) - misses + end_known)
+                base.append(fsum(filter(None, logs)) + end)
             flush(scores)
             ids = np.arange(row, row + batch.num_rows)
             row += batch.num_rows
-            columns = [pa.array(ids), batch.column(0), batch.column(2), *[pa.array(c, t) for c, t in ((n_tokens, pa.int64()), (known, pa.int64()), (base, pa.float64()))], pa.array(scores), pa.array(tails, tail_type)]
+            entries = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_times, pa.int64())], names=["word", "n"])
+            tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries).cast(tail_type)
+            columns = [pa.array(ids), batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), tails]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
