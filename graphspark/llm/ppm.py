@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of_id, materialize, table
 
-ORDER = 6
+ORDER = 5
 MAX_NODES = 1 << 20
 HOT_WORDS = 1 << 18
 HOT_BYTES = 64
