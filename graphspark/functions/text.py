@@ -145,7 +145,7 @@ def wiki_link(path: Column, alias: Column | None = None) -> Column:
 
 
 def escape_pipes(v: Column) -> Column:
-    return F.regexp_replace(v, r"\|", r"\\\\|")
+    return F.regexp_replace(v, r"\|", r"\\|")
 
 
 def inline_list(v: Column) -> Column:

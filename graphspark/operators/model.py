@@ -125,7 +125,7 @@ def ranked_events(triples: DataFrame, metadata: DataFrame, merges_only: bool = F
     found = file_events(triples, metadata)
     if merges_only:
         found = found.filter("is_merge_to_mainline")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("committed"), "commit_sha")))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("committed"), "commit_sha", "id")))
 
 
 def submodules(triples: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def ordering_sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", "o_custkey", key.alias("sort_key")).withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("sort_key", "o_orderkey"))).drop("o_custkey")
 
 
-_TREE = "SELECT s_suppkey AS s, s_suppkey // 2 AS o FROM supplier WHERE s_suppkey >= 2 UNION SELECT s_suppkey, s_suppkey // 3 FROM supplier WHERE s_suppkey % 3 = 0"
+_TREE = "SELECT s_suppkey AS s, s_suppkey // 2 AS o FROM supplier WHERE s_suppkey >= 2 UNION ALL SELECT s_suppkey, s_suppkey // 3 FROM supplier WHERE s_suppkey % 3 = 0"
 
 
 def _inherits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,7 +157,7 @@ def _inherits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.filter("s_suppkey >= 2").selectExpr("s_suppkey AS s", "s_suppkey div 2 AS o").union(s.filter("s_suppkey % 3 = 0").selectExpr("s_suppkey", "s_suppkey div 3")).distinct()
 
 
-_CLOSURE = f"RECURSIVE edges AS ({_TREE}), walk AS (SELECT s, o, 1 AS depth FROM edges UNION SELECT w.s, e.o, w.depth + 1 FROM walk w JOIN edges e ON e.s = w.o), closure AS (SELECT s, o, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY s, o)"
+_CLOSURE = f"RECURSIVE edges AS (SELECT DISTINCT s, o FROM ({_TREE}) t), walk AS (SELECT s, o, 1 AS depth FROM edges UNION ALL SELECT w.s, e.o, w.depth + 1 FROM walk w JOIN edges e ON e.s = w.o WHERE w.depth < 30), closure AS (SELECT s, o, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY s, o)"
 
 
 @query(f"WITH {_CLOSURE} SELECT * FROM closure")

@@ -26,10 +26,10 @@ VIEWS = {
     "v_count": "SELECT count(*) AS c FROM supplier",
     "v_package": "SELECT DISTINCT CAST(substr(p_brand, 7) AS BIGINT) * 10 + x AS k, CAST(substr(p_brand, 7) AS BIGINT) AS b, x, CASE WHEN x = 0 THEN p_brand ELSE p_brand || '.S' || x END AS nm FROM part CROSS JOIN (SELECT 0 AS x UNION ALL SELECT 1 AS x UNION ALL SELECT 2 AS x) xs",
     "v_reference": "SELECT nk * 100000 + p.k AS k, nk, rk, b, x, p.nm AS nm FROM v_package p CROSS JOIN v_nation WHERE (nk + b + x) % 3 = 0",
-    "v_part": "SELECT p_partkey AS k, p_partkey AS pk, p_brand AS brand, p_size AS size, sk, nk, rk FROM part CROSS JOIN v_count JOIN v_supplier ON sk = p_partkey % c + 1",
-    "v_order": "SELECT o_orderkey AS k, o_orderkey AS ok, sk, nk, rk, o_orderpriority AS pri FROM orders CROSS JOIN v_count JOIN v_supplier ON sk = o_orderkey % c + 1",
+    "v_part": "SELECT p_partkey AS k, p_partkey AS pk, p_brand || '' AS brand, p_size AS size, sk, nk, rk FROM part CROSS JOIN v_count JOIN v_supplier ON sk = p_partkey % c + 1",
+    "v_order": "SELECT o_orderkey AS k, o_orderkey AS ok, sk, nk, rk, o_orderpriority || '' AS pri FROM orders CROSS JOIN v_count JOIN v_supplier ON sk = o_orderkey % c + 1",
     "v_event": "SELECT event_id AS k, event_id AS ev, ts, event_type AS et, user_id AS u, ck, nk, rk, ext FROM events JOIN v_customer ON ck = user_id",
-    "v_line": "SELECT l_orderkey * 8 + l_linenumber AS k, l_linenumber AS ln, l_returnflag AS rf, l_linestatus AS ls, o.ok AS ok, o.sk AS sk, o.nk AS nk, o.rk AS rk, p.pk AS pk, p.brand AS brand, p.size AS size, p.sk AS psk, p.nk AS pnk, p.rk AS prk FROM lineitem JOIN v_order o ON l_orderkey = o.ok JOIN v_part p ON l_partkey = p.pk",
+    "v_line": "SELECT l_orderkey * 8 + l_linenumber AS k, l_linenumber AS ln, l_returnflag || '' AS rf, l_linestatus || '' AS ls, o.ok AS ok, o.sk AS sk, o.nk AS nk, o.rk AS rk, p.pk AS pk, p.brand AS brand, p.size AS size, p.sk AS psk, p.nk AS pnk, p.rk AS prk FROM lineitem JOIN v_order o ON l_orderkey = o.ok JOIN v_part p ON l_partkey = p.pk",
     "v_call": "SELECT v.k AS k, v.ok AS ok, v.sk AS sk, v.nk AS nk, v.rk AS rk, t.ok AS tok, t.sk AS tsk, t.nk AS tnk, t.rk AS trk FROM v_line v JOIN v_order t ON v.pk = t.ok WHERE v.ln = 1",
 }
 

@@ -60,7 +60,7 @@ def version_set_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.package_versions(graph(spark, sf_dir, "hasDeclaredVersion"), "hasDeclaredVersion")
 
 
-@query(f"WITH {fixture.triples_sql('dependsOnTypeDeclaration')} SELECT s, o_id AS o, min(seq) AS seq FROM triples GROUP BY ALL")
+@query(with_graph("dependsOnTypeDeclaration", subjects=("method-declaration",)) + f" SELECT * FROM {edge('dependsOnTypeDeclaration')} e")
 def edges_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.edges(graph(spark, sf_dir, "dependsOnTypeDeclaration"), "dependsOnTypeDeclaration")
 
@@ -141,7 +141,7 @@ def file_last_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ranked(where: str) -> str:
     return with_graph(*_FILES, meta=_FILE_META, subjects=_FILE_SUBJECTS, more=_EVENTS_SQL) + f"""
-SELECT file_id, sha AS commit_sha, happened_at AS committed_at_utc, author AS author_name, CAST(row_number() OVER (PARTITION BY file_id ORDER BY committed DESC, sha) AS INTEGER) AS rank FROM happened {where}"""
+SELECT file_id, sha AS commit_sha, happened_at AS committed_at_utc, author AS author_name, CAST(row_number() OVER (PARTITION BY file_id ORDER BY committed DESC, sha, id) AS INTEGER) AS rank FROM happened {where}"""
 
 
 def _events(spark: SparkSession, sf_dir: str, merges: bool) -> DataFrame:
