@@ -34,6 +34,7 @@ from .common import crc32_of_id, table
 SAMPLE = 20_000
 PAIRS = 100_000
 FOLDS = 5
+FEATURES = 16
 THRESHOLD = 0.3
 _SYMBOLS = np.frombuffer(b"#$%&*+<=>@^_~\\{}[]", dtype=np.uint8)
 _SENTENCE_END = re.compile(rb"[.!?]")
@@ -45,7 +46,7 @@ def features(text: str | None) -> list[float]:
     words = raw.split()
     n, size = len(words), len(raw)
     if not n:
-        return [0.0] * 16
+        return [0.0] * FEATURES
     chars = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
     upper, lower = int(chars[65:91].sum()), int(chars[97:123].sum())
     symbols, digits = int(chars[_SYMBOLS].sum()), int(chars[48:58].sum())
@@ -112,13 +113,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     taught = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "_id").select("t", "y")
     rows = taught.mapInArrow(_featured, "x array<double>, y int").collect()
     rows.sort(key=lambda r: (r.y, r.x))  # the tasks' order must not matter
-    return BradleyTerry(np.array([r.x for r in rows]).reshape(len(rows), -1), np.array([r.y for r in rows]))
+    return BradleyTerry(np.array([r.x for r in rows]).reshape(-1, FEATURES), np.array([r.y for r in rows]))
 
 
 def score(docs: DataFrame, model: BradleyTerry, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t.as_py()) for t in batch.column(1)]).reshape(batch.num_rows, -1)
+            x = np.array([features(t.as_py()) for t in batch.column(1)]).reshape(-1, FEATURES)
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -133,7 +134,7 @@ def keep_good(docs: DataFrame, model: BradleyTerry, text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.array([features(t.as_py()) for t in batch.column(at)]).reshape(batch.num_rows, -1)
+                x = np.array([features(t.as_py()) for t in batch.column(at)]).reshape(-1, FEATURES)
                 yield batch.filter(pa.array(model.score(x) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
