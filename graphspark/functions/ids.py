@@ -32,7 +32,7 @@ def member_key(type_: Column, kind: Column, signature: Column) -> Column:
 
 def method_key(assembly: Column, type_: Column, name: Column, arity: Column, parameter_types: Column) -> Column:
     """Return types take no part: overloads differ by name, arity and parameters only."""
-    return F.concat_ws("::", F.lit("method"), F.trim(assembly), F.trim(type_), F.trim(name), arity.cast("string"), F.array_join(F.transform(parameter_types, F.trim), "|"))
+    return F.concat_ws("::", F.lit("method"), F.trim(assembly), F.trim(type_), F.trim(name), arity.cast("string"), F.array_join(F.transform(parameter_types, lambda x: F.trim(x)), "|"))
 
 
 def parameter_key(method: Column, ordinal: Column, name: Column) -> Column:
