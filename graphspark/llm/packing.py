@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 CHUNK = 1 << 16
-_STORED = "part long, start long, doc_id long, doc_start long, doc_tokens long, ids binary"
+_STORED = "part long, start long, doc_id long, doc_start long, doc_tokens long, n long, ids binary"
 
 
 @cache
@@ -63,7 +63,7 @@ def _tokenized(encoder: tuple, end_id: int) -> Callable[[Iterator[pa.RecordBatch
         encode = load_encoder(*encoder)
         part, position = TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4")
-        schema = pa.schema([("part", pa.int64()), ("start", pa.int64()), ("doc_id", pa.int64()), ("doc_start", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+        schema = pa.schema([("part", pa.int64()), ("start", pa.int64()), ("doc_id", pa.int64()), ("doc_start", pa.int64()), ("doc_tokens", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             rows: list[tuple] = []
             held = 0
@@ -71,7 +71,7 @@ def _tokenized(encoder: tuple, end_id: int) -> Callable[[Iterator[pa.RecordBatch
                 ids = np.concatenate([encode(text.as_py() or ""), end]).astype("<u4", copy=False)
                 for at in range(0, len(ids), CHUNK):
                     piece = ids[at : at + CHUNK]
-                    rows.append((part, position + at, doc_id.as_py(), at, len(ids), piece.tobytes()))
+                    rows.append((part, position + at, doc_id.as_py(), at, len(ids), len(piece), piece.tobytes()))
                 position += len(ids)
                 held += len(ids)
                 if held >= 16 * CHUNK:
@@ -95,13 +95,12 @@ def pack(docs: DataFrame, window: int = 2048, encoder: tuple | None = None, end_
     ids holds the piece's token ids as little-endian unsigned 32-bit numbers.
     """
     stored = tokenize(docs, encoder, end_id, id_col, text_col)
-    size = F.octet_length("ids") / 4
-    totals = stored.groupBy("part").agg(F.sum(size.cast("long")).alias("total"))
+    totals = stored.groupBy("part").agg(F.sum("n").alias("total"))
     # One row per input partition: small whatever the text volume, so one task sums it and it is broadcast.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     placed = stored.join(F.broadcast(bases), "part").select(
-        "doc_id", "doc_start", "doc_tokens", "ids", (F.col("base") + F.col("start")).alias("at"), size.cast("long").alias("n")
+        "doc_id", "doc_start", "doc_tokens", "ids", (F.col("base") + F.col("start")).alias("at"), "n"
     )
     w = F.lit(window).cast("long")
     cut = placed.select("*", F.explode(F.expr(f"sequence(at div {window}L, (at + n - 1) div {window}L)")).alias("sequence_id"))
