@@ -73,6 +73,8 @@ def unique_paths(candidates: DataFrame, order: str) -> DataFrame:
     as later arrivals, until none clash. Each round only handles the rows still open.
     """
 
+    candidates = candidates.select("id", "candidate", "fallback", F.col(order).alias("_order"))
+    order = "_order"
     first = Window.partitionBy(F.lower("candidate")).orderBy(order)
     ranked = candidates.withColumn("_n", F.row_number().over(first))
     done = stored(ranked.filter("_n = 1").select("id", F.col("candidate").alias("path"), order), "paths")
@@ -89,4 +91,4 @@ def unique_paths(candidates: DataFrame, order: str) -> DataFrame:
         reached = wanted.groupBy(F.lower("fallback").alias("_f")).agg(F.max("_k").alias("_most"))
         open_ = stored(left.withColumn("_f", F.lower("fallback")).join(reached, "_f").select("id", "fallback", order, F.col("_most").alias("_from")), "paths-open")
         done = stored(done.unionByName(settled), "paths")
-    return done
+    return done.select("id", "path")

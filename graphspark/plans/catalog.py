@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import declarations, dependencies, publication, structure  # noqa: F401  they register their queries
+from . import declarations, dependencies, publication, rendering, structure  # noqa: F401  they register their queries
 from .registry import QUERIES, SQL
 
 
