@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of_id, materialize, table
 
-ORDER = 5
+ORDER = 6
 MAX_NODES = 1 << 20
 HOT_WORDS = 1 << 18
 HOT_BYTES = 64
@@ -49,6 +49,8 @@ SMOOTH = 0.1
 #: Bytes that UTF-8 never uses: before the text, and its end.
 BEFORE, END = b"\xfe", b"\xff"
 _PIECE = 1 << 20
+#: Bytes scored at once: their arrays stay in the processor's cache.
+_SCORED_AT_ONCE = 1 << 18
 _FLUSH = 250_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -224,7 +226,18 @@ class Trie:
         self.direct = self.log_n - np.log10(n)[owner]
         self.next_total = np.log10(np.maximum(left, 0.5))
         self.suffix = suffix.astype(np.int32)
-        self.grams, self.contexts = Lookup(keys), Lookup(names)
+        # A table for each order: those of orders with few nodes stay in the processor's cache.
+        levels = np.arange(order + 2)
+        self.grams, self.contexts = self._tables(code, np.searchsorted(orders, levels)), self._tables(names & low, np.searchsorted(level, levels))
+
+    @staticmethod
+    def _tables(codes_: np.ndarray, bounds: np.ndarray) -> list[tuple[Lookup, int]]:
+        return [(Lookup(codes_[a:b]), int(a)) for a, b in zip(bounds, bounds[1:])]
+
+    @staticmethod
+    def _find(table_: tuple[Lookup, int], codes_: np.ndarray) -> np.ndarray:
+        found = table_[0].find(codes_)
+        return np.where(found >= 0, found + np.int32(table_[1]), np.int32(-1))
 
     def logs(self, code: np.ndarray) -> np.ndarray:
         """log10 of the probability of each code's last byte after the bytes before it."""
@@ -235,9 +248,8 @@ class Trie:
         start = np.full(len(code), -1, dtype=np.int32)  # the longest known context, once found
         child = start.copy()  # the context escaped from last
         for j in range(self.order, -1, -1):
-            tag = np.uint64(j << 56)
             own = code[live] & np.uint64((1 << 8 * (j + 1)) - 1)
-            gram = self.grams.find(own | tag)
+            gram = self._find(self.grams[j], own)
             hit = gram >= 0
             fresh = hit & (start < 0)
             out[live[fresh]] = self.direct[gram[fresh]]
@@ -248,7 +260,7 @@ class Trie:
             begun = start >= 0
             child[begun] = self.suffix[child[begun]]
             new = np.flatnonzero(~begun)
-            found = self.contexts.find((own[new] >> np.uint64(8)) | tag)
+            found = self._find(self.contexts[j], own[new] >> np.uint64(8))
             start[new] = child[new] = found
         begun = start >= 0
         s, c = start[begun], child[begun]
@@ -362,7 +374,7 @@ def _scorer(shared, order: int):
                     buffer.append(piece)
                     owners.append(i)
                     held += len(piece)
-                    if held >= _PIECE:
+                    if held >= _SCORED_AT_ONCE:
                         flush(scores)
                         held = 0
                 logs = list(map(hot.get, words))
