@@ -150,11 +150,14 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows that share an id are one document; the one with the smallest text stays.
     """
-    found = simhash_components(docs, id_col=id_col, text_col=text_col, **options)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    found = materialize(simhash_components(docs, id_col=id_col, text_col=text_col, **options), "simhash-found")
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    # A plain equality, so that the window finds the texts already dealt by id and they are shuffled once.
+    kept = docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi")
     ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())))
-    return ranked.filter("_rank = 1").drop("_rank")
+    nameless = found.filter("doc_id IS NULL AND component_id IS NULL").select(F.col("doc_id").alias("_keep")).limit(1)
+    alone = docs.filter(F.col(id_col).isNull()).join(nameless, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi").orderBy(F.col(text_col).asc_nulls_first()).limit(1)
+    return ranked.filter("_rank = 1").drop("_rank").unionByName(alone)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
