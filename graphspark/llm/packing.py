@@ -30,25 +30,39 @@ _STORED = "part long, start long, doc_id long, doc_start long, doc_tokens long,
 
 @cache
 def load_encoder(json_path: str, ranks_path: str | None, pattern: str | None) -> Callable[[str], np.ndarray]:
-    """text -> uint32 ids of the vocabulary in json_path, special tokens' strings taken as ordinary text.
+    """text -> uint32 ids that the tokenizer in json_path gives, an added token's string being that token's id.
 
-    With ranks_path (the same vocabulary as merge ranks) the faster byte-pair encoder is used; both give the
-    same ids, which tests/llm check over every code point.
+    With ranks_path (the same vocabulary as merge ranks) the faster byte-pair encoder is used, and the
+    tokenizer itself for a text on which that one gives up (runs of a million spaces); both give the same
+    ids, which tests/llm check over every code point.
     """
-    if ranks_path:
-        import base64
-
-        import tiktoken
-
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(json_path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    def whole(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+    added = tokenizer.get_added_tokens_decoder()
+    # Only plain added tokens cut a text where their string stands and nowhere else.
+    if not ranks_path or any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+        return whole
+    import base64
+
+    import tiktoken
+
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    special = {t.content: i for i, t in added.items()}
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+    def fast(text: str) -> np.ndarray:
+        try:
+            return encoding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return whole(text)
+
+    return fast
 
 
 def default_encoder() -> tuple[str, str, str]:

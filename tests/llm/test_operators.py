@@ -259,6 +259,26 @@ def test_both_encoders_agree_on_every_code_point():
     assert list(slow("x<|endoftext|>y")) == list(fast("x<|endoftext|>y"))
 
 
+def test_encoders_equal_an_unmodified_tokenizer():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_encoder()[0])
+    encoders = packing.load_encoder(packing.default_encoder()[0], None, None), packing.load_encoder(*packing.default_encoder())
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}\n x", f"a  {end}  b\n\n{end}\n", f"<{end[:-1]}{end}>", " " * 1_000_000, f"x{end}" + "\n" * 1_000_000 + "y", f" {end}" + " " * 900_001 + f"{end} z"]
+    for text in texts:
+        want = plain.encode(text, add_special_tokens=False).ids
+        for encode in encoders:
+            assert encode(text).tolist() == want, (len(text), text[:40])
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+
+
+def test_packing_survives_a_million_spaces(spark):
+    table = spark.createDataFrame([(1, "x" + " " * 1_000_000 + "y"), (2, "a <|endoftext|> b")], "doc_id long, text string")
+    encode = packing.load_encoder(packing.default_encoder()[0], None, None)
+    assert sum(p.length for p in packing.pack(table).collect()) == len(encode("x" + " " * 1_000_000 + "y")) + 1 + 4 + 1
+
+
 # 7. Language model
 
 def _ppm_brute(training: list[str | None], order: int):
