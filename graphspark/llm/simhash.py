@@ -80,7 +80,7 @@ def _fingerprints(width: int, seed: int):
             if held:
                 done.append(majority(held))
             prints = np.concatenate(done).view(np.int64) if done else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=[batch.schema.names[0], "fp"])
 
     return run
 
@@ -134,30 +134,60 @@ def near_pairs(prints: DataFrame) -> DataFrame:
     return pairs.union(many).distinct()
 
 
+def _by_print(stored: DataFrame) -> DataFrame:
+    """(fp, root): the smallest fingerprint reachable through links from each distinct one."""
+    prints = materialize(stored.select("fp").distinct(), "simhash-prints")
+    roots = components(near_pairs(prints)).select(F.col("node").alias("fp"), "root")
+    return prints.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp and component_id: the smallest id among all documents reachable through links."""
     stored = materialize(fingerprints(docs, width, seed, id_col, text_col), "simhash")
-    prints = materialize(stored.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-prints")
-    roots = components(near_pairs(prints.select("fp")))
-    rooted = prints.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    firsts = stored.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    rooted = materialize(firsts.join(_by_print(stored), "fp"), "simhash-roots")
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return stored.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without near-duplicates: of each component the one with the smallest id stays.
+def _text_key(text_col: str) -> Column:
+    """128 bits of hash by which equal texts are known, a null apart from an empty text."""
+    text = F.col(text_col).cast("string")
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"), text.isNull().alias("none"))
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=None, **options) -> DataFrame:
+    """The documents without near-duplicates: of each group the row with the smallest id stays, then the smallest text; nulls last.
 
-    Rows that share an id are one document; the one with the smallest text stays.
+    groups(keyed, **options) gives (key, root) for every distinct text of keyed (key, text); by default those that
+    SimHash links. Ids only choose within a group: rows whose id is null or repeated belong where their text does.
     """
-    found = materialize(simhash_components(docs, id_col=id_col, text_col=text_col, **options), "simhash-found")
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    # A plain equality, so that the window finds the texts already dealt by id and they are shuffled once.
-    kept = docs.join(keep, F.col(id_col) == F.col("_keep"), "left_semi")
-    ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_first())))
-    nameless = found.filter("doc_id IS NULL AND component_id IS NULL").select(F.col("doc_id").alias("_keep")).limit(1)
-    alone = docs.filter(F.col(id_col).isNull()).join(nameless, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi").orderBy(F.col(text_col).asc_nulls_first()).limit(1)
-    return ranked.filter("_rank = 1").drop("_rank").unionByName(alone)
+    keyed = docs.withColumn("_key", _text_key(text_col))
+    rows = keyed.select(F.col(id_col).cast("long").alias("id"), F.col("_key").alias("key"), F.col(text_col).cast("string").alias("text"))
+    roots = (groups or _simhash_groups)(rows.select("key", "text"), **options)
+    rooted = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")).join(roots, "key")
+    rooted = materialize(rooted, "dedup-rooted")
+    best = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    tied = rooted.join(best, "root").filter(F.col("first").eqNullSafe(F.col("best")))
+    tied = materialize(tied.select("root", "key", "first"), "dedup-best")
+    many = tied.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    open_ = tied.join(many, "root").select("root", "key")
+    # Only groups whose smallest id has several texts need these compared.
+    text = F.struct(F.col("text").isNull().alias("none"), "text", "key")
+    chosen = rows.select("key", "text").join(open_, "key").groupBy("root").agg(F.min(text).alias("t")).select(F.col("t.key").alias("key"))
+    sole = tied.join(many, "root", "left_anti").select("key")
+    won = sole.union(chosen).join(tied.select("key", "first"), "key").select(F.col("key").alias("_key"), F.col("first.id").alias("_id"))
+    # A plain equality on the key, by which the window then finds the texts already dealt: they are shuffled once.
+    kept = keyed.join(won, "_key").filter(F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
+    ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
+    return ranked.filter("_rank = 1").select(*docs.columns)
+
+
+def _simhash_groups(keyed: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
+    rows = keyed.mapInArrow(_fingerprints(width, seed), "key struct<a: long, b: long, none: boolean>, fp long")
+    stored = materialize(rows.distinct(), "simhash")
+    return stored.join(_by_print(stored), "fp").select("key", "root")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,6 +137,17 @@ def test_near_dedup_keeps_one(spark, docs, empty):
     assert simhash.keep_one_each(empty).count() == 0 and simhash.simhash_components(empty).count() == 0
 
 
+def test_near_dedup_keeps_every_group_whatever_the_ids(spark):
+    texts = [f"{w} " * 3 + f"{w}a {w}b {w}c" for w in ("red", "blue", "green", "grey")]
+    near = [(None, t) for t in texts[:2]] + [(None, texts[0]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (9, texts[2]), (None, texts[3]), (3, texts[1])]
+    kept = simhash.keep_one_each(spark.createDataFrame(near, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, texts[0]), (3, texts[1]), (7, texts[2]), (7, texts[3])])
+    # Upper case shares the fingerprint; of one id's, or no id's, texts in a group the smallest stays, null last.
+    for key in (5, None):
+        table = spark.createDataFrame([(key, "b c d"), (key, "B C D"), (key, None), (key, "")], "doc_id long, text string")
+        assert {r.text for r in simhash.keep_one_each(table).collect()} == {"B C D", ""}
+
+
 # 3. URL filters
 
 def _judged(url):
