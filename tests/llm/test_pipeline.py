@@ -39,6 +39,37 @@ def test_one_of_each_group_stays(outputs):
     assert sorted(r.doc_id for r in out.collect()) == sorted({r.component_id for r in groups})
 
 
+def _similar_groups(texts: dict) -> set:
+    """The smallest id of each group by brute force over five-word Jaccard similarity."""
+    words = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, w in words.items()}
+    top = {i: i for i in sets}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                top[max(x, y)] = min(x, y)
+    return {root(i) for i in sets}
+
+
+def test_near_dedup_equals_brute_force_jaccard(spark, outputs):
+    docs, out = outputs[1]
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    base = " ".join(f"w{i}" for i in range(60))
+    edits = [base, base.replace("w20 ", "x "), base.replace("w20 ", "x ").replace("w40 ", "y "), base.upper(), "", None, base[:100]]
+    rows |= {1000 + i: t for i, t in enumerate(edits)}
+    table_ = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows.items()], docs.schema)
+    want = _similar_groups(rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, table_, SF).collect()) == sorted(want)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(i for i in want if i < 1000)
+
+
 def test_mixing_and_packing(outputs):
     docs, out = outputs[2]
     assert out.count() == mixing.mix(docs).count() and {r.doc_id for r in out.collect()} <= {r.doc_id for r in docs.collect()}
