@@ -6,34 +6,33 @@ shorter contexts, which makes a trie of contexts with the bytes seen after each.
 longest context known, with (n - 1/2) / N; if it was not seen there the escape probability d / 2N is paid
 (N: bytes counted, d: different ones; method D) and the next shorter context predicts it, without the bytes
 already excluded. Below the empty context all bytes not excluded are equally likely. The logarithms add up.
-(Update exclusion was tried and left out: it makes short contexts poor stand-ins for pruned long ones.)
 
-What a context excludes from its suffix is the same for every text, so N and d after exclusion are computed
-once per context and the trie becomes a table; a batch of bytes is scored by vectorised hash look-ups.
-
-Tasks need the trie in memory, so it is bounded: from short contexts to long ones, nodes are kept down to the
-least count that leaves room for at most MAX_NODES. Thresholds don't fall with the length, and a node's
-suffixes and prefixes have at least its count, so what remains is again a trie. What is pruned stays counted:
-its share is part of its context's escape probability. Counting covers all training documents.
-
-The base score needs the count of every word. At most HOT_WORDS words, the most frequent, are broadcast; the
-words of a text that are not among them are joined with the full table of counts by a shuffle, which leaves
-no frequent key in the join.
+No node is left out, and no task holds the trie. Texts are written as blocks of about BLOCK bytes. A block asks
+for the logarithm of each of its different grams (ORDER bytes and the next), with its training count, from the
+shard that the gram's last DEPTH bytes of context are dealt to. A shard so receives all grams of its contexts, and with
+them all longer contexts' suffixes down to DEPTH; the shorter orders, at most 2^24 grams of three bytes, are summed
+apart and broadcast. It builds its part of the trie and answers every block. What a context excludes from
+its suffix is the same for every text, so N and d after exclusion are computed once per context and a shard's
+grams are scored by vectorised hash look-ups. What a task holds is one block, or the different grams of
+one shard: requests wait in an unnamed temporary file meanwhile. Words are counted and answered in the same way
+by a join, one row per block and word, so no frequent word is hot.
 
 Nulls and edge cases: a null or blank text is the end mark alone; a null id counts as the empty text's CRC
 (held out); without training documents every byte has 1/256 and the base is that of N = V = 0; repeated rows
-train and are scored as often as they occur; an empty table gives no rows; other columns are ignored.
+train and are scored as often as they occur; a text longer than a block is cut between words; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
 from math import fsum
+from tempfile import SpooledTemporaryFile
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,18 +40,18 @@ from pyspark.sql import functions as F
 from .common import crc32_of_id, materialize, table
 
 ORDER = 6
-MAX_NODES = 1 << 20
-HOT_WORDS = 1 << 18
-HOT_BYTES = 64
+#: Bytes of context by which grams are dealt to shards.
+DEPTH = 3
 FOLDS = 10
 SMOOTH = 0.1
 #: Bytes that UTF-8 never uses: before the text, and its end.
 BEFORE, END = b"\xfe", b"\xff"
-_PIECE = 1 << 20
-#: Bytes scored at once: their arrays stay in the processor's cache.
-_SCORED_AT_ONCE = 1 << 18
-_FLUSH = 250_000
+BLOCK = 8 << 20
+#: Bytes of text per shard, and the most shards (tasks).
+SHARD_BYTES, MOST_SHARDS = 16 << 20, 1 << 14
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SPOOL = 32 << 20
+_SUM_AT = 4 << 20
 
 
 def normal(text: str | None) -> list[bytes]:
@@ -69,76 +68,186 @@ def codes(data: bytes, order: int) -> np.ndarray:
     return out
 
 
-def pieces(words: list[bytes], order: int) -> Iterator[bytes]:
-    """The marked text in parts of at most _PIECE bytes, each after the `order` bytes before it."""
+def pieces(words: list[bytes], order: int, block: int = BLOCK) -> Iterator[bytes]:
+    """The marked text in parts of about `block` bytes that end between words, each after the `order` bytes before it."""
     whole = BEFORE * order + b" ".join(words) + END
-    for at in range(order, len(whole), _PIECE):
-        yield whole[at - order : at + _PIECE]
+    at = order
+    while at < len(whole):
+        end = len(whole)
+        if end - at > block:
+            end = whole.rfind(b" ", at, at + block) + 1 or whole.find(b" ", at + block) + 1 or end
+        yield whole[at - order : end]
+        at = end
+
 
+_DOCS = pa.list_(pa.struct([("doc", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("cut", pa.bool_()), ("size", pa.int64())]))
+_WORDS = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+_LOW = pa.list_(pa.struct([("gram", pa.int32()), ("n", pa.int64())]))
+_BLOCKS = (
+    "block long, bytes long, docs array<struct<doc: long, doc_id: long, held_out: boolean, cut: boolean, size: long>>, text binary, "
+    "words array<struct<word: binary, n: long>>, low array<struct<gram: int, n: long>>"
+)
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
 
+def _listed(kind: pa.ListType, *columns) -> pa.Array:
+    """One list that holds the rows of the columns."""
+    fields = list(kind.value_type)
+    rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows).cast(kind)
 
-def _counted(order: int):
-    names = ["word", "gram", "n"]
 
-    def words_out(seen: Counter) -> pa.RecordBatch:
-        n = pa.array(list(seen.values()), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.nulls(len(seen), pa.int64()), n], names=names)
+def _own(sizes: np.ndarray, order: int) -> np.ndarray:
+    """Which bytes of a block are not the context before a piece."""
+    keep = np.ones(int(sizes.sum()), dtype=bool)
+    starts = np.cumsum(sizes) - sizes
+    for k in range(order):
+        keep[starts + k] = False
+    return keep
 
-    def grams_out(grams: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(grams[0]), _FLUSH):
-            keys, n = (g[at : at + _FLUSH] for g in grams)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=names)
+
+def _blocked(order: int, block: int):
+    schema = pa.schema([("block", pa.int64()), ("bytes", pa.int64()), ("docs", _DOCS), ("text", pa.binary()), ("words", _WORDS), ("low", _LOW)])
+    depth = min(DEPTH, order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        total: list[tuple[np.ndarray, np.ndarray]] = []
-        buffer: list[bytes] = []
-        held = docs = 0
-
-        def gather() -> None:
-            """Gram counts of the buffered pieces; each starts with `order` bytes of context, whose codes are left out."""
-            nonlocal held
-            if buffer:
-                joined = codes(BEFORE * order + b"".join(buffer), order)
-                keep = np.ones(len(joined), dtype=bool)
-                starts = np.concatenate([[0], np.cumsum([len(b) for b in buffer])[:-1]])
-                for k in range(order):
-                    keep[starts + k] = False
-                total.append(np.unique(joined[keep], return_counts=True))
-                buffer.clear()
-                held = 0
-            if len(total) > 4:
-                total[:] = [_summed(total)]
+        base = TaskContext.get().partitionId() << 33
+        doc = number = held = 0
+        docs: list[tuple] = []
+        texts: list[bytes] = []
+        taught: Counter = Counter()
+        asked: set[bytes] = set()
+
+        def flush() -> pa.RecordBatch:
+            text = b"".join(texts)
+            sizes, learnt = np.array([d[4] for d in docs]), np.array([not d[2] for d in docs])
+            training = codes(BEFORE * depth + text, depth)[_own(sizes, order) & np.repeat(learnt, sizes)]
+            low, n = np.unique((training & np.uint64((1 << 8 * depth) - 1)).astype(np.uint32), return_counts=True)
+            words = [*taught, *(asked - taught.keys())]
+            times = [taught.get(w, 0) for w in words]
+            columns = [
+                pa.array([base | number], pa.int64()), pa.array([len(text)], pa.int64()), _listed(_DOCS, *zip(*docs)), pa.array([text], pa.binary()),
+                _listed(_WORDS, words, times), _listed(_LOW, low.astype(np.int32), n),
+            ]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
 
         for batch in batches:
-            for text in batch.column(0):
-                words = normal(text.as_py())
-                docs += 1
-                seen.update(words)
-                for piece in pieces(words, order):
-                    buffer.append(piece)
-                    held += len(piece)
-                    if held >= 2 * _PIECE:
-                        gather()
-                if len(seen) > _FLUSH:
-                    yield words_out(seen)
-                    seen.clear()
-            if sum(len(t[0]) for t in total) > 12 * _FLUSH:
-                yield from grams_out(_summed(total))
-                total.clear()
-        gather()
+            for doc_id, text, held_out in zip(*(batch.column(i) for i in range(3))):
+                doc_id, held_out = doc_id.as_py(), held_out.as_py()
+                parts = list(pieces(normal(text.as_py()), order, block))
+                for i, part in enumerate(parts):
+                    last = i == len(parts) - 1
+                    words = part[order : -1 if last else None].split()
+                    if held_out:
+                        asked.update(words)
+                    else:
+                        taught.update(words)
+                        if last:
+                            taught[b""] += 1  # the end mark; no word is empty
+                    docs.append((base | doc, doc_id, held_out, len(parts) > 1, len(part)))
+                    texts.append(part)
+                    held += len(part)
+                    if held >= block:
+                        yield flush()
+                        docs, texts, held, number = [], [], 0, number + 1
+                        taught.clear()
+                        asked.clear()
+                doc += 1
         if docs:
-            seen[b""] = docs  # the end mark; no word is empty
-            yield words_out(seen)
-        if total:
-            yield from grams_out(_summed(total))
+            yield flush()
+
+    return run
+
+
+class Grams:
+    """The different grams of a block in ascending order, and the shards that answer for them."""
+
+    def __init__(self, text: bytes, sizes: np.ndarray, order: int, shards: int):
+        self.code = codes(BEFORE * order + text, order)[_own(sizes, order)]
+        self.sizes, self.order, self.shards = sizes - order, order, shards
+
+    def deal(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The grams' places sorted by shard, and where each shard's begin."""
+        depth = min(DEPTH, self.order)
+        context = (grams >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
+        mixed = (context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        shard = (mixed % np.uint64(self.shards)).astype(np.uint16)
+        return np.argsort(shard, kind="stable"), np.searchsorted(np.sort(shard), np.arange(self.shards + 1))
+
+
+def _packed(x: np.ndarray, width: int) -> bytes:
+    """Numbers by planes of their lowest `width` bytes, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8")[:, 0]
+
+
+def _requested(order: int, shards: int):
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, docs, text in zip(*(batch.column(i) for i in range(3))):
+                docs = pa.RecordBatch.from_struct_array(docs.values)
+                sizes = docs["size"].to_numpy()
+                block_grams = Grams(text.as_py(), sizes, order, shards)
+                learnt = np.repeat(~docs["held_out"].to_numpy(zero_copy_only=False), block_grams.sizes)
+                known, times = np.unique(block_grams.code[learnt], return_counts=True)
+                grams = np.union1d(known, np.unique(block_grams.code[~learnt]))
+                counts = np.zeros(len(grams), np.uint64)
+                counts[np.searchsorted(grams, known)] = times
+                places, begin = block_grams.deal(grams)
+                rows = []
+                for shard in np.flatnonzero(begin[1:] > begin[:-1]):
+                    at = places[begin[shard] : begin[shard + 1]]
+                    rows.append((shard, block.as_py(), _packed(grams[at], order + 1), _packed(counts[at], 4)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(count, first)
+
+
+def _answered(shared, order: int):
+    """shared: a broadcast of the short orders' grams and their counts."""
+    schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("logs", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        pending, asked = 0, []
+        with SpooledTemporaryFile(max_size=_SPOOL) as spool:
+            for batch in batches:
+                for shard, block, grams, times in zip(*(batch.column(i) for i in range(4))):
+                    data = grams.as_py()
+                    spool.write(data)
+                    asked.append((block.as_py(), shard.as_py(), len(data)))
+                    keys.append(_unpacked(data, order + 1))
+                    counts.append(_unpacked(times.as_py(), 4))
+                    pending += len(keys[-1])
+                    if pending > _SUM_AT + 2 * len(keys[0]):
+                        one = _summed(keys, counts)
+                        keys, counts, pending = [one[0]], [one[1]], len(one[0])
+            if not asked:
+                return
+            grams, times = _summed(keys, counts)
+            del keys, counts
+            logs = Trie.of(*shared.value, grams[times > 0], times[times > 0].astype(np.int64), order).logs(grams)
+            spool.seek(0)
+            for block, shard, size in asked:
+                found = logs[np.searchsorted(grams, _unpacked(spool.read(size), order + 1))]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([_packed(found.view("<u8"), 8)], pa.binary())], schema=schema)
 
     return run
 
@@ -187,8 +296,21 @@ class Trie:
     order and bytes. Keys come sorted, and every gram's suffix is there too.
     """
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, order: int):
-        """counts: of the grams; totals: of each gram's context, with the pruned ones."""
+    @classmethod
+    def of(cls, low: np.ndarray, low_counts: np.ndarray, grams: np.ndarray, counts: np.ndarray, order: int) -> Trie:
+        """From the grams of the longest order and those of DEPTH bytes, both summed down to the orders below."""
+        depth = min(DEPTH, order)
+        top = np.uint64(56)
+        keys, times = [], []
+        for j in range(order + 1):
+            own, n = (low, low_counts) if j < depth else (grams, counts)
+            if len(own):
+                own, n = _summed([own & np.uint64((1 << 8 * (j + 1)) - 1)], [n])
+                keys.append(own | (np.uint64(j) << top))
+                times.append(n)
+        return cls(np.concatenate(keys), np.concatenate(times), order) if keys else cls(np.zeros(0, np.uint64), np.zeros(0, np.int64), order)
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
         self.order = order
         self.size = len(keys)
         if not self.size:
@@ -200,8 +322,7 @@ class Trie:
         names = contexts[first]
         sizes = np.diff(np.append(first, len(keys)))
         owner, level = np.repeat(np.arange(len(first)), sizes), orders[first]
-        n, d = totals[first].astype(np.float64), sizes.astype(np.float64)
-        pruned = n - np.add.reduceat(counts, first)
+        n, d = np.add.reduceat(counts, first).astype(np.float64), sizes.astype(np.float64)
         # A gram's suffix and a context's suffix, one byte shorter at the far end; those of order 0 point anywhere.
         masks = np.array([(1 << 8 * j) - 1 for j in range(order + 2)], dtype=np.uint64)
         shorter = np.where(orders > 0, ((np.maximum(orders, 1) - 1).astype(np.uint64) << top) | (code & masks[orders]), 0)
@@ -213,7 +334,7 @@ class Trie:
         root = level == 0
         # What the suffix still predicts and escapes with, once this context's bytes are excluded from it.
         left = np.where(root, 256 - d, n[suffix] - excluded)
-        escaping = pruned[suffix] + (d[suffix] - d) / 2
+        escaping = (d[suffix] - d) / 2
         open_ = ~root & (left > 0) & (escaping > 0)
         fall = np.where(open_, np.log10(np.where(open_, escaping, 1)) - np.log10(np.where(open_, left, 1)), 0.0)
         fallen = np.zeros(len(names))  # escapes from here down to the empty context, this one's first escape not counted
@@ -221,12 +342,11 @@ class Trie:
             own = level == j
             fallen[own] = fall[own] + fallen[suffix[own]]
         self.fallen = fallen
-        self.escape = np.log10((pruned + d / 2) / n)
+        self.escape = np.log10(d / 2 / n)
         self.log_n = np.log10(counts - 0.5)
         self.direct = self.log_n - np.log10(n)[owner]
         self.next_total = np.log10(np.maximum(left, 0.5))
         self.suffix = suffix.astype(np.int32)
-        # A table for each order: those of orders with few nodes stay in the processor's cache.
         levels = np.arange(order + 2)
         self.grams, self.contexts = self._tables(code, np.searchsorted(orders, levels)), self._tables(names & low, np.searchsorted(level, levels))
 
@@ -268,161 +388,81 @@ class Trie:
         return out
 
 
-def model_tables(docs: DataFrame, training: Column, order: int = ORDER, max_nodes: int = MAX_NODES, text_col: str = "text") -> tuple[DataFrame, tuple[np.ndarray, ...]]:
-    """Counts (word, n) of the training documents' tokens, the end mark as the empty word, and the trie's nodes."""
-    rows = docs.filter(training).select(F.col(text_col).cast("string").alias("text"))
-    counts = materialize(rows.mapInArrow(_counted(order), "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n")), "lm-counts")
-    words = counts.filter("word IS NOT NULL").select("word", "n")
-    grams = counts.filter("gram IS NOT NULL").select("gram", "n")
-    levels = F.array(*[F.col("gram").bitwiseAND((1 << 8 * (j + 1)) - 1).bitwiseOR(j << 56) for j in range(order + 1)])
-    nodes = grams.select(F.explode(levels).alias("key"), "n").groupBy("key").agg(F.sum("n").alias("seen")).withColumn("order", F.expr("cast(shiftright(key, 56) as int)"))
-    nodes = materialize(nodes, "lm-nodes")
-    # Sizes by order and eighth of a power of two: some hundred rows.
-    least = _thresholds(nodes.groupBy("order", _bin("seen").alias("b")).agg(F.count(F.lit(1)).alias("rows")).collect(), order, max_nodes)
-    kept = F.lit(False)
-    for j, bin_ in enumerate(least):
-        if bin_ is not None:
-            kept = kept | ((F.col("order") == j) & (_bin("seen") >= bin_))
-    context = F.expr("(key & shiftleft(255L, 56)) | shiftright(key & (shiftleft(1L, 56) - 1), 8)")
-    counted = nodes.select("key", F.col("seen").alias("n"), kept.alias("kept"), context.alias("context"))
-    totals = counted.groupBy("context").agg(F.sum("n").alias("total"), F.max("kept").alias("any")).filter("any")
-    found = counted.filter("kept").join(totals, "context").select("key", "n", "total").toArrow()  # at most max_nodes rows
-    keys = found["key"].to_numpy()
-    order_ = np.argsort(keys)
-    return words, (keys[order_].astype(np.uint64), found["n"].to_numpy()[order_], found["total"].to_numpy()[order_])
-
-
-def _bin(n: str) -> Column:
-    return F.floor(F.log2(F.col(n).cast("double")) * 8).cast("int")
-
-
-def _thresholds(sizes: list, order: int, most: int) -> list[int | None]:
-    """For each order the least bin of counts whose nodes are kept, None if none is; at most `most` nodes in all."""
-    left, least, out = most, -1, []
-    for j in range(order + 1):
-        own, chosen = sorted(((r.b, r.rows) for r in sizes if r.order == j and r.b >= least), reverse=True), None
-        for b, rows in own:
-            if rows > left:
-                least = max(least, b + 1)
-                break
-            left, chosen = left - rows, b
-        out.append(chosen)
-    return out
-
-
-def _at_least(counted: DataFrame, most: int) -> DataFrame | None:
-    """The rows whose n reaches the least bin of counts from which on there are at most `most` rows; None if there is no such bin."""
-    sizes = counted.groupBy(_bin("n").alias("b")).agg(F.count(F.lit(1)).alias("rows")).collect()
-    total, least = 0, None
-    for r in sorted(sizes, key=lambda r: -r.b):
-        total += r.rows
-        if total > most:
-            break
-        least = r.b
-    return None if least is None else counted.filter(_bin("n") >= least)
-
-
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, score double, tail array<struct<word: binary, n: long>>"
-
-
-class Shared:
-    """What tasks score with: the trie's nodes and the hot words as arrays, from which each Python worker builds its tables once."""
-
-    def __init__(self, nodes: tuple[np.ndarray, ...], order: int, words: pa.Array, logs: np.ndarray, end: float, end_known: int):
-        self.nodes, self.order, self.words, self.logs, self.end, self.end_known = nodes, order, words, logs, end, end_known
-        self._built = None
-
-    def tables(self) -> tuple[Trie, dict[bytes, float], float, int]:
-        if self._built is None:
-            self._built = Trie(*self.nodes, self.order), dict(zip(self.words.to_pylist(), self.logs.tolist())), self.end, self.end_known
-            self.nodes = self.words = self.logs = None
-        return self._built
-
-
-def _scorer(shared, order: int):
-    """shared: a broadcast of Shared."""
-    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("hot_known", pa.int64()), ("hot_base", pa.float64()), ("score", pa.float64()), ("tail", tail_type)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, hot, end, end_known = shared.value.tables()
-        row = TaskContext.get().partitionId() << 33
-        buffer: list[bytes] = []
-        owners: list[int] = []
-
-        def flush(scores: np.ndarray) -> None:
-            if buffer:
-                sizes = np.array([len(b) for b in buffer])
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                keep = np.ones(int(sizes.sum()), dtype=bool)
-                for k in range(order):
-                    keep[starts + k] = False
-                logs = trie.logs(codes(BEFORE * order + b"".join(buffer), order)[keep])
-                scores += np.bincount(np.repeat(owners, sizes - order), weights=logs, minlength=len(scores))
-                buffer.clear()
-                owners.clear()
-
-        for batch in batches:
-            scores, held = np.zeros(batch.num_rows), 0
-            n_tokens, known, base = [], [], []
-            tail_words: list[bytes] = []
-            tail_times: list[int] = []
-            ends = [0]
-            for i, text in enumerate(batch.column(1)):
-                words = normal(text.as_py())
-                for piece in pieces(words, order):
-                    buffer.append(piece)
-                    owners.append(i)
-                    held += len(piece)
-                    if held >= _SCORED_AT_ONCE:
-                        flush(scores)
-                        held = 0
-                logs = list(map(hot.get, words))
-                misses = logs.count(None)
-                if misses:
-                    rest = Counter(compress(words, (x is None for x in logs)))
-                    tail_words.extend(rest)
-                    tail_times.extend(rest.values())
-                ends.append(len(tail_words))
-                n_tokens.append(len(words) + 1)
-                known.append(len(words) - misses + end_known)
-                base.append(fsum(filter(None, logs)) + end)
-            flush(scores)
-            ids = np.arange(row, row + batch.num_rows)
-            row += batch.num_rows
-            entries = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_times, pa.int64())], names=["word", "n"])
-            tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries).cast(tail_type)
-            columns = [pa.array(ids), batch.column(0), batch.column(2), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), tails]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    return run
-
-
-def score(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES, hot_words: int = HOT_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_SCORED = "doc long, doc_id long, held_out boolean, cut boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scorer(order: int, shards: int, divisor: float, end: int):
+    def logs_of(counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + SMOOTH) / divisor)
+
+    end_log, end_known = float(np.log10((end + SMOOTH) / divisor)), int(end > 0)
+
+    def score_block(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        for docs, text in zip(left["docs"], left["text"]):
+            docs, text = pa.RecordBatch.from_struct_array(docs.values), text.as_py()
+            sizes = docs["size"].to_numpy()
+            block = Grams(text, sizes, order, shards)
+            grams, inverse = np.unique(block.code, return_inverse=True)
+            places, begin = block.deal(grams)
+            logs = np.empty(len(grams))
+            by_word: dict[bytes, float] = {}
+            unknown: set[bytes] = set()
+            for shard, answer, words in zip(right["shard"], right["logs"], right["words"]):
+                if answer.is_valid:
+                    shard = shard.as_py()
+                    logs[places[begin[shard] : begin[shard + 1]]] = _unpacked(answer.as_py(), 8).view(np.float64)
+                elif words.is_valid:
+                    names, counts = words.values.field("word").to_pylist(), words.values.field("n").to_numpy()
+                    by_word.update(zip(names, logs_of(counts).tolist()))
+                    unknown.update(names[i] for i in np.flatnonzero(counts == 0))
+            ends = np.cumsum(block.sizes)
+            scores = np.add.reduceat(logs[inverse], ends - block.sizes)
+            n_tokens, n_known, base = [], [], []
+            at = 0
+            for size in sizes.tolist():
+                last = text[at + size - 1] == END[0]
+                words = text[at + order : at + size - last].split()
+                at += size
+                n_tokens.append(len(words) + last)
+                n_known.append(len(words) + last * end_known - (sum(map(unknown.__contains__, words)) if unknown else 0))
+                base.append(fsum(map(by_word.__getitem__, words)) + last * end_log)
+            columns = [docs["doc"], docs["doc_id"], docs["held_out"], docs["cut"], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores)]
+            found.append(pa.Table.from_arrays(columns, names=["doc", "doc_id", "held_out", "cut", "n_tokens", "n_known", "base_score", "score"]))
+        return pa.concat_tables(found)
+
+    return score_block
+
+
+def score(docs: DataFrame, order: int = ORDER, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark = docs.sparkSession
-    fold = crc32_of_id(id_col) % FOLDS
-    words, nodes = model_tables(docs, fold != 0, order, max_nodes, text_col)
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    held_out = crc32_of_id(id_col) % FOLDS == 0
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
+    blocks = materialize(rows.mapInArrow(_blocked(order, block), _BLOCKS), "lm-blocks")
+    asked = blocks.select("block", F.explode("words").alias("w")).select("block", "w.word", "w.n")
+    words = materialize(asked.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    size = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v"), F.max(F.when(F.octet_length("word") == 0, F.col("n"))).alias("end")).first()
     divisor = total.n + SMOOTH * (total.v + 1)
-    end = words.filter(F.octet_length("word") == 0).select("n").first()
-    short = _at_least(words.filter(F.octet_length("word").between(1, HOT_BYTES)), hot_words)
-    hot = short.select("word", F.log10((F.col("n") + SMOOTH) / divisor).alias("log")).toArrow() if short is not None else pa.table({"word": pa.array([], pa.binary()), "log": pa.array([], pa.float64())})
-    end_log = float(np.log10(((end.n if end else 0) + SMOOTH) / divisor))
-    # At most max_nodes nodes of 24 bytes and hot_words words of HOT_BYTES bytes.
-    shared = spark.sparkContext.broadcast(Shared(nodes, order, hot["word"].combine_chunks(), hot["log"].to_numpy(), end_log, int(bool(end))))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string"), (fold == 0).alias("held_out"))
-    scored = materialize(rows.mapInArrow(_scorer(shared, order), _SCORED), "lm-scored")
-    tail = scored.select("row", F.explode("tail").alias("t")).select("row", "t.word", F.col("t.n").alias("times"))
-    looked = tail.join(words, "word", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("c"))
-    added = looked.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10((F.col("c") + SMOOTH) / divisor)).alias("tail_base"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("tail_known")
-    )
-    zero = F.lit(0)
-    return scored.drop("tail").join(added, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("tail_known", zero)).alias("n_known"), F.lit(total.n).cast("long").alias("train_tokens"),
-        (F.col("hot_base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"), "score",
+    shards = min(MOST_SHARDS, -(-size.bytes // SHARD_BYTES) or 1)
+    grams = blocks.select("block", "docs", "text").mapInArrow(_requested(order, shards), "shard int, block long, grams binary, counts binary")
+    # At most 2^24 different grams of DEPTH bytes.
+    low = blocks.select(F.explode("low").alias("g")).groupBy("g.gram").agg(F.sum("g.n").alias("n")).toArrow().sort_by("gram")
+    shared = docs.sparkSession.sparkContext.broadcast((low["gram"].to_numpy().astype(np.uint64), low["n"].to_numpy()))
+    answers = grams.repartitionById(shards, F.col("shard")).mapInArrow(_answered(shared, order), "block long, shard int, logs binary")
+    word_type = F.lit(None).cast("array<struct<word: binary, n: long>>")
+    known = asked.select("block", "word").join(words, "word").groupBy("block").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    replies = answers.select("*", word_type.alias("words")).unionByName(known.select("block", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("logs"), "words"))
+    tasks = max(1, min(size.blocks, MOST_SHARDS))
+    texts = blocks.select("block", "docs", "text").repartition(tasks, "block")
+    both = texts.groupBy("block").cogroup(replies.repartition(tasks, "block").groupBy("block"))
+    scored = materialize(both.applyInArrow(_scorer(order, shards, divisor, total.end or 0), _SCORED), "lm-scored")
+    train_tokens = F.lit(total.n).cast("long").alias("train_tokens")
+    kept = ["doc_id", "held_out", "n_tokens", "n_known", train_tokens, "base_score", "score"]
+    cut = scored.filter("cut").groupBy("doc").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     )
+    return scored.filter("not cut").select(*kept).unionByName(cut.select(*kept))
 
 
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -320,11 +320,15 @@ def _ppm_brute(training: list[str | None], order: int):
     return logp
 
 
-@pytest.mark.parametrize("hot", [1 << 18, 3])
-def test_language_model(spark, docs, empty, hot):
-    small = docs.filter("doc_id IS NULL OR doc_id <> 10")
-    kept = [r for r in rows() if r[0] != 10]
-    got = ppm.score(small, order=3, hot_words=hot).collect()
+@pytest.mark.parametrize("order, block, shards", [(ppm.ORDER, ppm.BLOCK, None), (3, 100, 3), (2, 7, 5), (0, 1 << 12, 2)])
+def test_language_model(spark, docs, empty, monkeypatch, order, block, shards):
+    """At the default order over every row; at others with blocks and shards so small that texts are cut."""
+    if shards:
+        monkeypatch.setattr(ppm, "SHARD_BYTES", 1)
+        monkeypatch.setattr(ppm, "MOST_SHARDS", shards)
+    small = docs if block > 1 << 20 else docs.filter("doc_id IS NULL OR doc_id <> 10")
+    kept = [r for r in rows() if block > 1 << 20 or r[0] != 10]
+    got = ppm.score(small, order=order, block=block).collect()
     assert len(got) == len(kept)
 
     def held(doc_id):
@@ -334,7 +338,7 @@ def test_language_model(spark, docs, empty, hot):
     words = Counter(w for t in training for w in ppm.normal(t))
     words["end"] = len(training)
     n, v = sum(words.values()), len(words)
-    logp, texts = _ppm_brute(training, 3), {r[0]: r[1] for r in kept}
+    logp, texts = _ppm_brute(training, order), {r[0]: r[1] for r in kept}
     for r in got:
         tokens = [*ppm.normal(texts[r.doc_id]), "end"]
         assert r.held_out == held(r.doc_id) and r.n_tokens == len(tokens) and r.train_tokens == n
@@ -344,13 +348,18 @@ def test_language_model(spark, docs, empty, hot):
     assert ppm.score(empty).count() == 0
 
 
-def test_pruned_trie_is_still_a_distribution(spark, docs):
-    small = docs.filter("doc_id <> 10")
-    from pyspark.sql import functions as F
+def test_language_model_without_training(spark):
+    lone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    got = ppm.score(spark.createDataFrame([(lone, "ab c")], "doc_id long, text string")).collect()
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(3, 0, 0)]
+    assert got[0].score == pytest.approx(-5 * math.log10(256)) and got[0].base_score == pytest.approx(3 * math.log10(0.1 / 0.1))
+
 
-    _, nodes = ppm.model_tables(small, F.lit(True), 3, 60)
-    assert 0 < len(nodes[0]) <= 60
-    trie = ppm.Trie(*nodes, 3)
+def test_trie_is_a_distribution():
+    data = ppm.BEFORE * 3 + b"one two three one ten two" + ppm.END
+    grams, n = np.unique(ppm.codes(data, 3), return_counts=True)
+    low, m = np.unique(ppm.codes(data, 3) & np.uint64(0xFFFFFF), return_counts=True)
+    trie = ppm.Trie.of(low, m, grams, n, 3)
     for context in (b"e t", b"zzz", b" on"):
         codes = np.array([int.from_bytes(bytes([s]) + context[::-1], "little") for s in range(256)], dtype=np.uint64)
         assert (10 ** trie.logs(codes)).sum() == pytest.approx(1.0, abs=1e-6)
