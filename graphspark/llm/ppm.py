@@ -14,8 +14,8 @@ them all longer contexts' suffixes down to DEPTH; the shorter orders, at most 2^
 apart and broadcast. It builds its part of the trie and answers every block. What a context excludes from
 its suffix is the same for every text, so N and d after exclusion are computed once per context and a shard's
 grams are scored by vectorised hash look-ups. What a task holds is one block, or the different grams of
-one shard: requests wait in an unnamed temporary file meanwhile. Words are counted and answered in the same way
-by a join, one row per block and word, so no frequent word is hot.
+one shard: requests wait in an unnamed temporary file meanwhile. A block's different words are counted and
+answered in the same way, dealt by their checksum. No key is hot: a shard gets at most one request a block.
 
 Nulls and edge cases: a null or blank text is the end mark alone; a null id counts as the empty text's CRC
 (held out); without training documents every byte has 1/256 and the base is that of N = V = 0; repeated rows
@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 from math import fsum
 from tempfile import SpooledTemporaryFile
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ BLOCK = 8 << 20
 #: Bytes of text per shard, and the most shards (tasks).
 SHARD_BYTES, MOST_SHARDS = 16 << 20, 1 << 14
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: The block under which shards report their numbers of words.
+NO_BLOCK = -1
 _SPOOL = 32 << 20
 _SUM_AT = 4 << 20
 
@@ -80,12 +83,21 @@ def pieces(words: list[bytes], order: int, block: int = BLOCK) -> Iterator[bytes
         at = end
 
 
+def listed_words(text: bytes, sizes: np.ndarray, order: int) -> Iterator[tuple[list[bytes], bool]]:
+    """The words of each piece of a block, and whether its text ends there."""
+    at = 0
+    for size in sizes.tolist():
+        last = text[at + size - 1] == END[0]
+        yield text[at + order : at + size - last].split(), last
+        at += size
+
+
 _DOCS = pa.list_(pa.struct([("doc", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("cut", pa.bool_()), ("size", pa.int64())]))
-_WORDS = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 _LOW = pa.list_(pa.struct([("gram", pa.int32()), ("n", pa.int64())]))
+#: text is compressed; tokens and ends count those of training documents, low their grams of DEPTH bytes.
 _BLOCKS = (
-    "block long, bytes long, docs array<struct<doc: long, doc_id: long, held_out: boolean, cut: boolean, size: long>>, text binary, "
-    "words array<struct<word: binary, n: long>>, low array<struct<gram: int, n: long>>"
+    "block long, bytes long, tokens long, ends long, docs array<struct<doc: long, doc_id: long, held_out: boolean, cut: boolean, size: long>>, text binary, "
+    "low array<struct<gram: int, n: long>>"
 )
 
 
@@ -106,51 +118,37 @@ def _own(sizes: np.ndarray, order: int) -> np.ndarray:
 
 
 def _blocked(order: int, block: int):
-    schema = pa.schema([("block", pa.int64()), ("bytes", pa.int64()), ("docs", _DOCS), ("text", pa.binary()), ("words", _WORDS), ("low", _LOW)])
+    schema = pa.schema([("block", pa.int64()), ("bytes", pa.int64()), ("tokens", pa.int64()), ("ends", pa.int64()), ("docs", _DOCS), ("text", pa.binary()), ("low", _LOW)])
     depth = min(DEPTH, order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
-        doc = number = held = 0
+        doc = number = held = tokens = ends = 0
         docs: list[tuple] = []
         texts: list[bytes] = []
-        taught: Counter = Counter()
-        asked: set[bytes] = set()
 
         def flush() -> pa.RecordBatch:
             text = b"".join(texts)
             sizes, learnt = np.array([d[4] for d in docs]), np.array([not d[2] for d in docs])
             training = codes(BEFORE * depth + text, depth)[_own(sizes, order) & np.repeat(learnt, sizes)]
             low, n = np.unique((training & np.uint64((1 << 8 * depth) - 1)).astype(np.uint32), return_counts=True)
-            words = [*taught, *(asked - taught.keys())]
-            times = [taught.get(w, 0) for w in words]
-            columns = [
-                pa.array([base | number], pa.int64()), pa.array([len(text)], pa.int64()), _listed(_DOCS, *zip(*docs)), pa.array([text], pa.binary()),
-                _listed(_WORDS, words, times), _listed(_LOW, low.astype(np.int32), n),
-            ]
-            return pa.RecordBatch.from_arrays(columns, schema=schema)
+            numbers = [pa.array([x], pa.int64()) for x in (base | number, len(text), tokens, ends)]
+            packed = zstandard.ZstdCompressor(level=3).compress(text)
+            return pa.RecordBatch.from_arrays([*numbers, _listed(_DOCS, *zip(*docs)), pa.array([packed], pa.binary()), _listed(_LOW, low.astype(np.int32), n)], schema=schema)
 
         for batch in batches:
             for doc_id, text, held_out in zip(*(batch.column(i) for i in range(3))):
-                doc_id, held_out = doc_id.as_py(), held_out.as_py()
-                parts = list(pieces(normal(text.as_py()), order, block))
-                for i, part in enumerate(parts):
-                    last = i == len(parts) - 1
-                    words = part[order : -1 if last else None].split()
-                    if held_out:
-                        asked.update(words)
-                    else:
-                        taught.update(words)
-                        if last:
-                            taught[b""] += 1  # the end mark; no word is empty
+                doc_id, held_out, words = doc_id.as_py(), held_out.as_py(), normal(text.as_py())
+                if not held_out:
+                    tokens, ends = tokens + len(words) + 1, ends + 1
+                parts = list(pieces(words, order, block))
+                for part in parts:
                     docs.append((base | doc, doc_id, held_out, len(parts) > 1, len(part)))
                     texts.append(part)
                     held += len(part)
                     if held >= block:
                         yield flush()
-                        docs, texts, held, number = [], [], 0, number + 1
-                        taught.clear()
-                        asked.clear()
+                        docs, texts, held, tokens, ends, number = [], [], 0, 0, 0, number + 1
                 doc += 1
         if docs:
             yield flush()
@@ -158,22 +156,6 @@ def _blocked(order: int, block: int):
     return run
 
 
-class Grams:
-    """The different grams of a block in ascending order, and the shards that answer for them."""
-
-    def __init__(self, text: bytes, sizes: np.ndarray, order: int, shards: int):
-        self.code = codes(BEFORE * order + text, order)[_own(sizes, order)]
-        self.sizes, self.order, self.shards = sizes - order, order, shards
-
-    def deal(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The grams' places sorted by shard, and where each shard's begin."""
-        depth = min(DEPTH, self.order)
-        context = (grams >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
-        mixed = (context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-        shard = (mixed % np.uint64(self.shards)).astype(np.uint16)
-        return np.argsort(shard, kind="stable"), np.searchsorted(np.sort(shard), np.arange(self.shards + 1))
-
-
 def _packed(x: np.ndarray, width: int) -> bytes:
     """Numbers by planes of their lowest `width` bytes, compressed."""
     planes = np.ascontiguousarray(x.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].T)
@@ -187,25 +169,56 @@ def _unpacked(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
+def _shards_of_grams(grams: np.ndarray, order: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that put ascending grams in order of their shards, and where each shard's begin."""
+    context = (grams >> np.uint64(8)) & np.uint64((1 << 8 * min(DEPTH, order)) - 1)
+    mixed = (context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    return _grouped((mixed % np.uint64(shards)).astype(np.uint16), shards)
+
+
+def _shards_of_words(words: list[bytes], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    return _grouped(np.fromiter((crc32(w) % shards for w in words), np.uint16, len(words)), shards)
+
+
+def _grouped(shard: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.argsort(shard, kind="stable"), np.searchsorted(np.sort(shard), np.arange(shards + 1))
+
+
 def _requested(order: int, shards: int):
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary()), ("words", pa.binary()), ("times", pa.binary())])
+
+    def grams_of(text: bytes, sizes: np.ndarray, held_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A block's different grams, ascending, and how often training documents have them."""
+        code = codes(BEFORE * order + text, order)[_own(sizes, order)] << np.uint64(1)
+        code |= np.repeat(held_out, sizes - order)
+        code.sort()
+        held = (code & np.uint64(1)).astype(np.int8)
+        code >>= np.uint64(1)
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        return code[first], np.diff(np.append(first, len(code))) - np.add.reduceat(held, first, dtype=np.int64)
+
+    def words_of(text: bytes, sizes: np.ndarray, held_out: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        taught: Counter = Counter()
+        asked: set[bytes] = set()
+        for (words, _), held in zip(listed_words(text, sizes, order), held_out.tolist()):
+            (asked if held else taught).update(words)
+        words = sorted(asked.union(taught))
+        return words, np.fromiter(map(taught.__getitem__, words), np.int64, len(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, docs, text in zip(*(batch.column(i) for i in range(3))):
-                docs = pa.RecordBatch.from_struct_array(docs.values)
-                sizes = docs["size"].to_numpy()
-                block_grams = Grams(text.as_py(), sizes, order, shards)
-                learnt = np.repeat(~docs["held_out"].to_numpy(zero_copy_only=False), block_grams.sizes)
-                known, times = np.unique(block_grams.code[learnt], return_counts=True)
-                grams = np.union1d(known, np.unique(block_grams.code[~learnt]))
-                counts = np.zeros(len(grams), np.uint64)
-                counts[np.searchsorted(grams, known)] = times
-                places, begin = block_grams.deal(grams)
+                docs, text = pa.RecordBatch.from_struct_array(docs.values), zstandard.ZstdDecompressor().decompress(text.as_py())
+                about = text, docs["size"].to_numpy(), docs["held_out"].to_numpy(zero_copy_only=False)
+                grams, counts = grams_of(*about)
+                words, times = words_of(*about)
+                places, begin = _shards_of_grams(grams, order, shards)
+                spots, start = _shards_of_words(words, shards)
                 rows = []
-                for shard in np.flatnonzero(begin[1:] > begin[:-1]):
-                    at = places[begin[shard] : begin[shard + 1]]
-                    rows.append((shard, block.as_py(), _packed(grams[at], order + 1), _packed(counts[at], 4)))
+                for shard in np.flatnonzero((begin[1:] > begin[:-1]) | (start[1:] > start[:-1])):
+                    at, own = places[begin[shard] : begin[shard + 1]], spots[start[shard] : start[shard + 1]]
+                    named = zstandard.ZstdCompressor(level=1).compress(b" ".join(words[i] for i in own))
+                    rows.append((shard, block.as_py(), _packed(grams[at], order + 1), _packed(counts[at], 4), named, _packed(times[own], 4)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
@@ -213,6 +226,8 @@ def _requested(order: int, shards: int):
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, count = np.concatenate(keys), np.concatenate(counts)
+    if not len(key):
+        return key, count
     order = np.argsort(key, kind="stable")
     key, count = key[order], count[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -220,34 +235,45 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _answered(shared, order: int):
-    """shared: a broadcast of the short orders' grams and their counts."""
-    schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("logs", pa.binary())])
+    """shared: a broadcast of the short orders' grams and their counts. Block NO_BLOCK gets the shard's number of training words."""
+    schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("logs", pa.binary()), ("times", pa.binary())])
+
+    def words_in(data: bytes) -> list[bytes]:
+        return zstandard.ZstdDecompressor().decompress(data).split()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         counts: list[np.ndarray] = []
+        taught: dict[bytes, int] = {}
         pending, asked = 0, []
         with SpooledTemporaryFile(max_size=_SPOOL) as spool:
             for batch in batches:
-                for shard, block, grams, times in zip(*(batch.column(i) for i in range(4))):
-                    data = grams.as_py()
-                    spool.write(data)
-                    asked.append((block.as_py(), shard.as_py(), len(data)))
-                    keys.append(_unpacked(data, order + 1))
-                    counts.append(_unpacked(times.as_py(), 4))
+                for shard, block, grams, n, words, times in zip(*(batch.column(i) for i in range(6))):
+                    grams, words = grams.as_py(), words.as_py()
+                    spool.write(grams)
+                    spool.write(words)
+                    asked.append((block.as_py(), shard.as_py(), len(grams), len(words)))
+                    keys.append(_unpacked(grams, order + 1))
+                    counts.append(_unpacked(n.as_py(), 4))
                     pending += len(keys[-1])
                     if pending > _SUM_AT + 2 * len(keys[0]):
                         one = _summed(keys, counts)
                         keys, counts, pending = [one[0]], [one[1]], len(one[0])
+                    for word, more in zip(words_in(words), _unpacked(times.as_py(), 4).tolist()):
+                        taught[word] = taught.get(word, 0) + more
             if not asked:
                 return
-            grams, times = _summed(keys, counts)
+            grams, n = _summed(keys, counts)
             del keys, counts
-            logs = Trie.of(*shared.value, grams[times > 0], times[times > 0].astype(np.int64), order).logs(grams)
+            logs = Trie.of(*shared.value, grams[n > 0], n[n > 0].astype(np.int64), order).logs(grams)
             spool.seek(0)
-            for block, shard, size in asked:
+            for block, shard, size, more in asked:
                 found = logs[np.searchsorted(grams, _unpacked(spool.read(size), order + 1))]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([shard], pa.int32()), pa.array([_packed(found.view("<u8"), 8)], pa.binary())], schema=schema)
+                times = np.fromiter(map(taught.__getitem__, words_in(spool.read(more))), np.int64)
+                row = (block, shard, zstandard.ZstdCompressor(level=1).compress(found.astype("<f8").tobytes()), _packed(times, 8))
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
+            row = (NO_BLOCK, asked[0][1], None, _packed(np.array([sum(map(bool, taught.values()))]), 8))
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
     return run
 
@@ -391,45 +417,37 @@ class Trie:
 _SCORED = "doc long, doc_id long, held_out boolean, cut boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scorer(order: int, shards: int, divisor: float, end: int):
-    def logs_of(counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + SMOOTH) / divisor)
-
-    end_log, end_known = float(np.log10((end + SMOOTH) / divisor)), int(end > 0)
+def _scorer(order: int, shards: int, end_times: int):
+    """base_score: of the counts alone, their divisor not yet taken off. Document NO_BLOCK: n_known training words."""
+    end_log, end_known = float(np.log10(end_times + SMOOTH)), int(end_times > 0)
+    names = [x.split()[0] for x in _SCORED.split(", ")]
+
+    def of_block(docs: pa.RecordBatch, text: bytes, answers: dict[int, tuple[bytes, bytes]]) -> pa.Table:
+        sizes = docs["size"].to_numpy()
+        grams, inverse = np.unique(codes(BEFORE * order + text, order)[_own(sizes, order)], return_inverse=True)
+        places, begin = _shards_of_grams(grams, order, shards)
+        listed = list(listed_words(text, sizes, order))
+        words = sorted(set().union(*(w for w, _ in listed)))
+        spots, start = _shards_of_words(words, shards)
+        logs, times = np.empty(len(grams)), np.empty(len(words), np.int64)
+        for shard, (answer, found) in answers.items():
+            logs[places[begin[shard] : begin[shard + 1]]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(answer), "<f8")
+            times[spots[start[shard] : start[shard + 1]]] = _unpacked(found, 8)
+        by_word = dict(zip(words, np.log10(times + SMOOTH).tolist()))
+        unknown = {words[i] for i in np.flatnonzero(times == 0)}
+        scores = np.add.reduceat(logs[inverse], np.cumsum(sizes - order) - (sizes - order))
+        n_tokens = [len(w) + last for w, last in listed]
+        n_known = [len(w) + last * end_known - (sum(map(unknown.__contains__, w)) if unknown else 0) for w, last in listed]
+        base = [fsum(map(by_word.__getitem__, w)) + last * end_log for w, last in listed]
+        return pa.table([docs["doc"], docs["doc_id"], docs["held_out"], docs["cut"], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores)], names=names)
 
     def score_block(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        for docs, text in zip(left["docs"], left["text"]):
-            docs, text = pa.RecordBatch.from_struct_array(docs.values), text.as_py()
-            sizes = docs["size"].to_numpy()
-            block = Grams(text, sizes, order, shards)
-            grams, inverse = np.unique(block.code, return_inverse=True)
-            places, begin = block.deal(grams)
-            logs = np.empty(len(grams))
-            by_word: dict[bytes, float] = {}
-            unknown: set[bytes] = set()
-            for shard, answer, words in zip(right["shard"], right["logs"], right["words"]):
-                if answer.is_valid:
-                    shard = shard.as_py()
-                    logs[places[begin[shard] : begin[shard + 1]]] = _unpacked(answer.as_py(), 8).view(np.float64)
-                elif words.is_valid:
-                    names, counts = words.values.field("word").to_pylist(), words.values.field("n").to_numpy()
-                    by_word.update(zip(names, logs_of(counts).tolist()))
-                    unknown.update(names[i] for i in np.flatnonzero(counts == 0))
-            ends = np.cumsum(block.sizes)
-            scores = np.add.reduceat(logs[inverse], ends - block.sizes)
-            n_tokens, n_known, base = [], [], []
-            at = 0
-            for size in sizes.tolist():
-                last = text[at + size - 1] == END[0]
-                words = text[at + order : at + size - last].split()
-                at += size
-                n_tokens.append(len(words) + last)
-                n_known.append(len(words) + last * end_known - (sum(map(unknown.__contains__, words)) if unknown else 0))
-                base.append(fsum(map(by_word.__getitem__, words)) + last * end_log)
-            columns = [docs["doc"], docs["doc_id"], docs["held_out"], docs["cut"], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores)]
-            found.append(pa.Table.from_arrays(columns, names=["doc", "doc_id", "held_out", "cut", "n_tokens", "n_known", "base_score", "score"]))
-        return pa.concat_tables(found)
+        if left.num_rows == 0:
+            known = sum(int(_unpacked(x.as_py(), 8)[0]) for x in right["times"])
+            return pa.table([pa.array([x], t) for x, t in ((NO_BLOCK, pa.int64()), (None, pa.int64()), (None, pa.bool_()), (None, pa.bool_()), (0, pa.int64()), (known, pa.int64()), (0.0, pa.float64()), (0.0, pa.float64()))], names=names)
+        answers = {s.as_py(): (a.as_py(), t.as_py()) for s, a, t in zip(right["shard"], right["logs"], right["times"])}
+        docs, text = left["docs"].combine_chunks(), left["text"][0].as_py()
+        return of_block(pa.RecordBatch.from_struct_array(docs.values), zstandard.ZstdDecompressor().decompress(text), answers)
 
     return score_block
 
@@ -438,31 +456,27 @@ def score(docs: DataFrame, order: int = ORDER, block: int = BLOCK, id_col: str =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     held_out = crc32_of_id(id_col) % FOLDS == 0
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out.alias("held_out"))
-    blocks = materialize(rows.mapInArrow(_blocked(order, block), _BLOCKS), "lm-blocks")
-    asked = blocks.select("block", F.explode("words").alias("w")).select("block", "w.word", "w.n")
-    words = materialize(asked.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    size = blocks.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v"), F.max(F.when(F.octet_length("word") == 0, F.col("n"))).alias("end")).first()
-    divisor = total.n + SMOOTH * (total.v + 1)
+    blocks = materialize(rows.mapInArrow(_blocked(order, block), _BLOCKS), "lm-blocks", "none")
+    zero = F.lit(0).cast("long")
+    size = blocks.agg(F.count(F.lit(1)).alias("blocks"), *[F.coalesce(F.sum(c), zero).alias(c) for c in ("bytes", "tokens", "ends")]).first()
     shards = min(MOST_SHARDS, -(-size.bytes // SHARD_BYTES) or 1)
-    grams = blocks.select("block", "docs", "text").mapInArrow(_requested(order, shards), "shard int, block long, grams binary, counts binary")
+    requests = blocks.select("block", "docs", "text").mapInArrow(_requested(order, shards), "shard int, block long, grams binary, counts binary, words binary, times binary")
     # At most 2^24 different grams of DEPTH bytes.
     low = blocks.select(F.explode("low").alias("g")).groupBy("g.gram").agg(F.sum("g.n").alias("n")).toArrow().sort_by("gram")
     shared = docs.sparkSession.sparkContext.broadcast((low["gram"].to_numpy().astype(np.uint64), low["n"].to_numpy()))
-    answers = grams.repartitionById(shards, F.col("shard")).mapInArrow(_answered(shared, order), "block long, shard int, logs binary")
-    word_type = F.lit(None).cast("array<struct<word: binary, n: long>>")
-    known = asked.select("block", "word").join(words, "word").groupBy("block").agg(F.collect_list(F.struct("word", "n")).alias("words"))
-    replies = answers.select("*", word_type.alias("words")).unionByName(known.select("block", F.lit(None).cast("int").alias("shard"), F.lit(None).cast("binary").alias("logs"), "words"))
+    answers = requests.repartitionById(shards, F.col("shard")).mapInArrow(_answered(shared, order), "block long, shard int, logs binary, times binary")
     tasks = max(1, min(size.blocks, MOST_SHARDS))
     texts = blocks.select("block", "docs", "text").repartition(tasks, "block")
-    both = texts.groupBy("block").cogroup(replies.repartition(tasks, "block").groupBy("block"))
-    scored = materialize(both.applyInArrow(_scorer(order, shards, divisor, total.end or 0), _SCORED), "lm-scored")
-    train_tokens = F.lit(total.n).cast("long").alias("train_tokens")
-    kept = ["doc_id", "held_out", "n_tokens", "n_known", train_tokens, "base_score", "score"]
+    both = texts.groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block"))
+    scored = materialize(both.applyInArrow(_scorer(order, shards, size.ends), _SCORED), "lm-scored")
+    words = scored.filter(F.col("doc") == NO_BLOCK).agg(F.coalesce(F.sum("n_known"), zero).alias("n")).first().n
+    log_divisor = float(np.log10(size.tokens + SMOOTH * (words + bool(size.ends) + 1)))
     cut = scored.filter("cut").groupBy("doc").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
     )
-    return scored.filter("not cut").select(*kept).unionByName(cut.select(*kept))
+    every = scored.filter("not cut").drop("cut").unionByName(cut)
+    base = (F.col("base_score") - F.col("n_tokens") * F.lit(log_divisor)).alias("base_score")
+    return every.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(size.tokens).cast("long").alias("train_tokens"), base, "score")
 
 
 def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
