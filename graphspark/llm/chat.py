@@ -15,8 +15,9 @@ running hashes, in memory that does not grow with a conversation.
 
 Nulls and edge cases: a null text or role is empty, as is a null part list; turns with equal numbers are
 ordered by role, then content; a null turn number comes first; a null conversation id is a conversation of
-its own; parts of an unknown type raise an error; repeated rows are repeated turns; an empty table gives no
-rows; other columns are ignored.
+its own; a null part is left out; a part of null or unknown type becomes an attachment of kind "other" and one
+token; lengths that are null, negative or not finite count as 0 (an attachment has one token at least); repeated rows are repeated turns; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ FORMATTED = (
 _OPENING = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
-_PLACEHOLDER = re.compile(r"<\|(image|audio|document)\|>")
+_PLACEHOLDER = re.compile(r"<\|(image|audio|document|other)\|>")
 
 
 def escape(text: str) -> str:
@@ -63,6 +64,10 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role), flags=re.S)
 
 
+def _length(x: float | None) -> float:
+    return min(x, 1 << 53) if x is not None and 0 < x < math.inf else 0
+
+
 class Flattener:
     """Visits the parts of one turn; visit_<type> appends to the output."""
 
@@ -73,7 +78,7 @@ class Flattener:
         self.at, self.loss = offset, loss
 
     def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part['type']}")(part)
+        getattr(self, f"visit_{part['type']}", self.visit_other)(part)
 
     def _append(self, piece: str) -> None:
         self.pieces.append(piece)
@@ -90,20 +95,25 @@ class Flattener:
         self._append(f"<|{kind}|>")
 
     def visit_image(self, part: dict) -> None:
-        tiles = math.ceil((part["width"] or 0) / TILE) * math.ceil((part["height"] or 0) / TILE)
+        tiles = math.ceil(_length(part["width"]) / TILE) * math.ceil(_length(part["height"]) / TILE)
         self._attach("image", part, max(1, tiles * TILE_TOKENS))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, max(1, math.ceil((part["seconds"] or 0) * SECOND_TOKENS)))
+        self._attach("audio", part, max(1, math.ceil(_length(part["seconds"]) * SECOND_TOKENS)))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, max(1, (part["pages"] or 0) * PAGE_TOKENS))
+        self._attach("document", part, max(1, _length(part["pages"]) * PAGE_TOKENS))
+
+    def visit_other(self, part: dict) -> None:
+        self._attach("other", part, 1)
 
 
 def _joined_texts(parts: list[dict]) -> list[dict]:
     """Neighbouring text parts as one, so that an escape never straddles two parts."""
     out: list[dict] = []
     for part in parts:
+        if part is None:
+            continue
         if part["type"] == "text" and out and out[-1]["type"] == "text":
             out[-1] = {"type": "text", "text": (out[-1]["text"] or "") + (part["text"] or "")}
         else:

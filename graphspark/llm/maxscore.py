@@ -10,8 +10,10 @@ for those documents only that their bounds still leave competitive. The shards'
 Candidates are dealt by hash to shards of about SHARD rows and queries to blocks of about BLOCK rows, so that
 a task holds one shard and one block whatever the table's size. Nothing is broadcast or collected.
 
-Components are scaled to floor(256 * x), held between -2^25 and 2^25, and scored in whole numbers; vectors
-of fewer components count as padded by zeros.
+Components are scaled to floor(256 * x) and scored in whole numbers: in floating point where it holds every sum exactly,
+which vectors of small components make sure of, else (vectors with a large component, as a rule none) in Python's
+integers over the whole shard. A score beyond a long's range counts as the end of that range. Vectors of fewer
+components count as padded by zeros.
 
 Nulls and edge cases: a vector that is null or holds a null or non-finite component takes no part, nor does
 a row without an id; an empty vector scores 0 with all; a query's own rows are those of the same id; of
@@ -21,6 +23,8 @@ candidate rows are each ranked; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -34,40 +38,51 @@ SHARD = 4096
 BLOCK = 1024
 SEEDS = 256
 GROUP = 16
-_LIMIT = float(1 << 25)
+_LONG = (1 << 63) - 1
 
 
-def scaled(vector: Column) -> Column:
-    """The whole-number components, or null if the vector takes no part."""
-    bounded = F.transform(vector, lambda x: F.floor(F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT), x.cast("double") * SCALE))).cast("int"))
-    usable = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
-    return F.when(usable, bounded)
+def usable(vector: Column) -> Column:
+    """The vector as doubles, or null if it takes no part."""
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    return F.when(finite, vector.cast("array<double>"))
 
 
 def _matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
     sizes = pa.compute.list_value_length(vectors).to_numpy()
     out = np.zeros((len(sizes), width))
-    flat = pa.compute.list_flatten(vectors).to_numpy()
-    out[np.arange(width) < sizes[:, None]] = flat
+    out[np.arange(width) < sizes[:, None]] = pa.compute.list_flatten(vectors).to_numpy()
     return out
 
 
-def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whole-number products a @ b, in floating point where that is exact."""
-    if not a.size or not b.size or np.abs(a).max() * np.abs(b).max() * a.shape[-1] < 2**53:
-        return a @ b
-    return (a.astype(np.int64) @ b.astype(np.int64)).astype(np.longdouble)
+def _whole(rows: np.ndarray) -> np.ndarray:
+    """The scaled components as Python's integers; a double beyond 2^53 is whole."""
+    return np.array([[math.floor(x * SCALE) if abs(x) < 2.0**53 else int(x) * SCALE for x in row] for row in rows.tolist()], dtype=object).reshape(rows.shape)
 
 
 def best_of_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, row id, score) of each query's k best rows of a shard, ties to smaller ids."""
+    """(query id, row id, score) of rows of a shard, each query's k best among them."""
+    bound = int((2**53 // max(1, queries.shape[1])) ** 0.5) // SCALE - 1
+    small_q, small_r = (np.abs(x).max(axis=1, initial=0) <= bound for x in (queries, rows))
+    found = _best_of_small(query_ids[small_q], np.floor(queries[small_q] * SCALE), ids[small_r], np.floor(rows[small_r] * SCALE), k) if small_q.any() and small_r.any() else []
+    # Pairs of which either has a large component.
+    for of_q, of_r in ((small_q, ~small_r), (~small_q, np.ones_like(small_r))):
+        if of_q.any() and of_r.any():
+            whole = _whole(rows[of_r])
+            for query_id, query in zip(query_ids[of_q].tolist(), _whole(queries[of_q])):
+                scores = whole @ query
+                found += [(query_id, i, max(-_LONG - 1, min(_LONG, s))) for i, s in zip(ids[of_r].tolist(), scores.tolist()) if i != query_id]
+    return found
+
+
+def _best_of_small(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """Each query's k best rows, ties to smaller ids, of scaled components whose sums of products floating point holds exactly."""
     order = np.argsort(ids, kind="stable")
     ids, rows = ids[order], rows[order]
     least, most = rows.min(axis=0), rows.max(axis=0)
     high = np.maximum(queries * least, queries * most)
     low = np.minimum(queries * least, queries * most)
     gains = high - low
-    seeds = _exact(queries, rows[:SEEDS].T)
+    seeds = queries @ rows[:SEEDS].T
     seeds[query_ids[:, None] == ids[None, :SEEDS]] = -np.inf
     floor = np.sort(seeds, axis=1)[:, -k] if seeds.shape[1] >= k else np.full(len(queries), -np.inf)
     by_gain = np.argsort(gains, axis=1, kind="stable")  # smallest first
@@ -79,7 +94,7 @@ def best_of_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, r
     out = []
     step = max(1, (1 << 20) // max(1, len(rows)))
     for at in range(0, len(queries), step):
-        partial = _exact(np.where(essential, queries, 0)[at : at + step], rows.T)
+        partial = np.where(essential, queries, 0)[at : at + step] @ rows.T
         for j, scores in enumerate(partial, at):
             others = by_gain[j, : spare[j]][::-1]
             rest = high[j, others].sum()
@@ -87,7 +102,7 @@ def best_of_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, r
             found = scores[live]
             for g in range(0, len(others), GROUP):
                 dims = others[g : g + GROUP]
-                found = found + _exact(rows[np.ix_(live, dims)], queries[j, dims])
+                found = found + rows[np.ix_(live, dims)] @ queries[j, dims]
                 rest -= high[j, dims].sum()
                 stay = found + rest >= floor[j]
                 live, found = live[stay], found[stay]
@@ -98,7 +113,7 @@ def best_of_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, r
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best among all other rows."""
-    rows = vectors.withColumn("_query", is_query).select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vector_col)).alias("v"), "_query").filter("id IS NOT NULL AND v IS NOT NULL")
+    rows = vectors.withColumn("_query", is_query).select(F.col(id_col).cast("long").alias("id"), usable(F.col(vector_col)).alias("v"), "_query").filter("id IS NOT NULL AND v IS NOT NULL")
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_query"), 1)).alias("q"), F.max(F.size("v")).alias("width")).first()
     shards, blocks, width = max(1, -(-sizes.n // SHARD)), max(1, -(-sizes.q // BLOCK)), max(1, sizes.width or 1)
     everywhere = F.sequence(F.lit(0), F.lit(blocks - 1))

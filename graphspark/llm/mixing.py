@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import spare, table
 
 #: Shares of the text volume. All sources not named share OTHERS.
 WEIGHTS = {"src0": 0.2, "src1": 0.1, "src2": 0.1, "src3": 0.1, "src4": 0.1}
@@ -72,11 +72,12 @@ def mix(
     weights = WEIGHTS if weights is None else weights
     docs = docs.drop(*ADDED)
     by_source = rates(docs, weights, others, epochs, source_col, text_col)
+    u = spare(docs, "_u")
     uniform = (_hashed(52, seed, F.col(id_col)) + F.lit(0.5)) / F.lit(float(1 << 52))
 
     def copies(rate: float) -> Column:
         steps = F.array(*[F.lit(x) for x in poisson_cdf(rate)]).cast("array<double>")
-        return F.size(F.filter(steps, lambda step: step < F.col("_u")))
+        return F.size(F.filter(steps, lambda step: step < F.col(u)))
 
     count = copies(by_source.get(None, 0.0))
     for source, rate in by_source.items():
@@ -84,7 +85,7 @@ def mix(
             count = F.when(F.col(source_col).eqNullSafe(source), copies(rate)).otherwise(count)
     for source in weights.keys() - by_source.keys():
         count = F.when(F.col(source_col).eqNullSafe(source), F.lit(0)).otherwise(count)
-    counted = docs.withColumn("_u", uniform).withColumn("n_copies", count).drop("_u").filter("n_copies > 0")
+    counted = docs.withColumn(u, uniform).withColumn("n_copies", count).drop(u).filter("n_copies > 0")
     spread = counted.withColumn("copy", F.explode(F.expr("sequence(0, n_copies - 1)")))
     keyed = spread.withColumn("shuffle_key", _hashed(60, seed, F.col(id_col), F.col("copy")))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*docs.columns, *ADDED)

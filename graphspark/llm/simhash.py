@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, spare, table
 from .components import components
 
 BITS = 64
@@ -163,8 +163,9 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups(keyed, **options) gives (key, root) for every distinct text of keyed (key, text); by default those that
     SimHash links. Ids only choose within a group: rows whose id is null or repeated belong where their text does.
     """
-    keyed = docs.withColumn("_key", _text_key(text_col))
-    rows = keyed.select(F.col(id_col).cast("long").alias("id"), F.col("_key").alias("key"), F.col(text_col).cast("string").alias("text"))
+    own_key, won_id, place = (spare(docs, c) for c in ("_key", "_id", "_place"))
+    keyed = docs.withColumn(own_key, _text_key(text_col))
+    rows = keyed.select(F.col(id_col).cast("long").alias("id"), F.col(own_key).alias("key"), F.col(text_col).cast("string").alias("text"))
     roots = (groups or _simhash_groups)(rows.select("key", "text"), **options)
     rooted = rows.groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")).join(roots, "key")
     rooted = materialize(rooted, "dedup-rooted")
@@ -177,11 +178,11 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.struct(F.col("text").isNull().alias("none"), "text", "key")
     chosen = rows.select("key", "text").join(open_, "key").groupBy("root").agg(F.min(text).alias("t")).select(F.col("t.key").alias("key"))
     sole = tied.join(many, "root", "left_anti").select("key")
-    won = sole.union(chosen).join(tied.select("key", "first"), "key").select(F.col("key").alias("_key"), F.col("first.id").alias("_id"))
+    won = sole.union(chosen).join(tied.select("key", "first"), "key").select(F.col("key").alias(own_key), F.col("first.id").alias(won_id))
     # A plain equality on the key, by which the window then finds the texts already dealt: they are shuffled once.
-    kept = keyed.join(won, "_key").filter(F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
-    ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
-    return ranked.filter("_rank = 1").select(*docs.columns)
+    kept = keyed.join(won, own_key).filter(F.col(id_col).cast("long").eqNullSafe(F.col(won_id)))
+    ranked = kept.withColumn(place, F.row_number().over(Window.partitionBy(own_key).orderBy(F.lit(0))))
+    return ranked.filter(F.col(place) == 1).select(*docs.columns)
 
 
 def _simhash_groups(keyed: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:

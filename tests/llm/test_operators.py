@@ -7,10 +7,11 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
-from graphspark.llm import chat, maxscore, mixing, orderhash, packing, ppm, quality, simhash, urlfilter, warc
+from graphspark.llm import chat, jaccard, maxscore, mixing, orderhash, packing, ppm, quality, simhash, urlfilter, warc
 from xxhash import xxh64_intdigest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copy int, score double, part int"
@@ -66,6 +67,13 @@ def test_mixing_empty_and_weightless(empty, docs):
     assert {r.source for r in mixing.mix(docs, {"src0": 0.0, "src1": 0.999}, others=0.001).collect()} & {"src0"} == set()
 
 
+def test_added_columns_clash_with_nothing(spark):
+    table = spark.createDataFrame([(1, "a b c d", "src0", 1, 2, 3, 4, 5)], "doc_id long, text string, source string, _u int, _rank int, _keep int, _key int, _ID int")
+    assert mixing.mix(table, {"src0": 1.0}, epochs=5.0).columns[:8] == table.columns
+    for groups in (None, jaccard.similar_groups):
+        assert simhash.keep_one_each(table, groups=groups).collect() == table.collect()
+
+
 # 2. SimHash
 
 def _print(text: str | None) -> int:
@@ -191,21 +199,30 @@ def test_maxscore_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(maxscore, "SEEDS", 8)
     draw = np.random.default_rng(5)
     vectors = {i: [float(np.float32(x)) for x in draw.normal(size=12) * (1 if i % 3 else 0.1)] for i in range(300)}
-    vectors |= {7: vectors[6], 8: vectors[6], 11: None, 12: [1.0, None], 13: [float("nan")], 14: [float("inf")], 15: [], 16: [0.5], 100: [3e38] * 12}
+    vectors |= {7: vectors[6], 8: vectors[6], 11: None, 12: [1.0, None], 13: [float("nan")], 14: [float("inf")], 15: [], 16: [0.5], 100: [float(np.float32(3e38))] * 12, 150: [float(np.float32(2e5)), 1.0], 151: [float(np.float32(4e5))], 152: [float(np.float32(-3e6))] * 12}
     table = spark.createDataFrame([(i, v, 0, 1) for i, v in vectors.items()] + [(None, [1.0], 0, 1), (50, vectors[50], 0, 1)], "vec_id long, embedding array<float>, label int, score int")
     from pyspark.sql import functions as F
 
     got = defaultdict(list)
     for r in maxscore.search(table, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.rank, r.vec_id, r.score))
-    limit = 1 << 25
-    whole = {i: [max(-limit, min(limit, math.floor(max(-limit, min(limit, 256 * x))))) for x in v] for i, v in vectors.items() if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    whole = {i: [math.floor(256 * Fraction(x)) for x in v] for i, v in vectors.items() if v is not None and all(x is not None and math.isfinite(x) for x in v)}
     for q in (i for i in whole if i % 50 == 0):
-        every = [(-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q for _ in range(2 if i == 50 else 1)]
+        every = [(-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole[q], v)))), i) for i, v in whole.items() if i != q for _ in range(2 if i == 50 else 1)]
         assert got[q] == [(n, i, -s) for n, (s, i) in enumerate(sorted(every)[:5], 1)], q
     assert maxscore.search(table.filter("false"), F.lit(True)).count() == 0
 
 
+def test_maxscore_of_large_components(spark):
+    from pyspark.sql import functions as F
+
+    for scale in (1.0, 3.0, 2.0**45, 2.0**1000):
+        table = spark.createDataFrame([(0, [2e5, 1.0]), (1, [2e5, 0.0]), (2, [4e5 * scale, 0.0]), (3, [1.4e5, 0.0])], "vec_id long, embedding array<double>")
+        got = maxscore.search(table, F.col("vec_id") == 0).orderBy("rank").collect()
+        want = [(2, min((1 << 63) - 1, int(5242880000000000 * scale))), (1, 2621440000000000), (3, 1835008000000000)]
+        assert [(r.vec_id, r.score) for r in got] == want
+
+
 # 5. Order MinHash
 
 def test_order_minhash(spark, docs, empty):
@@ -385,8 +402,14 @@ def test_chat_parts_and_attachments():
     assert [(a["kind"], a["ref"], a["tokens"]) for a in attachments] == [("image", "i1", 2), ("audio", "a1", 38), ("document", "d1", 512)]
     assert all(formatted[a["position"] :].startswith(f"<|{a['kind']}|>") for a in attachments)
     assert next(chat.parse_turns(formatted))[1] == "see <|x<|image|>" and len(spans) == 2
-    with pytest.raises(AttributeError):
-        chat.format_turn("user", [blank | {"type": "video"}])
+
+
+def test_chat_odd_parts():
+    blank = {"text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None}
+    parts = [None, blank | {"type": "video", "ref": "v"}, blank | {"type": None}, *[blank | {"type": "audio", "seconds": x} for x in (math.nan, math.inf, -3.0, 1e300)], blank | {"type": "image", "width": -28, "height": 28}, blank | {"type": "document", "pages": -1}, None, blank | {"type": "text", "text": "t"}]
+    formatted, spans, attachments = chat.format_turn("assistant", parts)
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in attachments] == [("other", "v", 1), ("other", None, 1), *[("audio", None, 1)] * 3, ("audio", None, 25 << 53), ("image", None, 1), ("document", None, 1)]
+    assert next(chat.parse_turns(formatted))[1] == "t" and len(spans) == 1
 
 
 def test_chat_reading_back(spark):
