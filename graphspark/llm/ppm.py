@@ -14,7 +14,7 @@ them all longer contexts' suffixes down to DEPTH; the shorter orders, at most 2^
 apart and broadcast. It builds its part of the trie and answers every block. What a context excludes from
 its suffix is the same for every text, so N and d after exclusion are computed once per context and a shard's
 grams are scored by vectorised hash look-ups. What a task holds is one block, or the different grams of
-one shard: requests wait in an unnamed temporary file meanwhile. A block's different words are counted and
+one shard: requests wait in an unnamed temporary file meanwhile. Answers travel as 32-bit floats and are summed in 64. A block's different words are counted and
 answered in the same way, dealt by their checksum. No key is hot: a shard gets at most one request a block.
 
 Nulls and edge cases: a null or blank text is the end mark alone; a null id counts as the empty text's CRC
@@ -62,13 +62,10 @@ def normal(text: str | None) -> list[bytes]:
 
 
 def codes(data: bytes, order: int) -> np.ndarray:
-    """For each byte after the first `order` of data: itself in the lowest byte, those before it above."""
-    raw = np.frombuffer(data, dtype=np.uint8)
-    n = len(raw) - order
-    out = raw[order:].astype(np.uint64)
-    for k in range(1, order + 1):
-        out |= raw[order - k : order - k + n].astype(np.uint64) << np.uint64(8 * k)
-    return out
+    """For each byte after the first `order` (7 at most) of data: itself in the lowest byte, those before it above."""
+    padded = bytes(7 - order) + data
+    windows = np.ndarray((len(padded) - 7,), dtype=">u8", buffer=padded, strides=(1,))
+    return windows.astype(np.uint64) & np.uint64((1 << 8 * (order + 1)) - 1)
 
 
 def pieces(words: list[bytes], order: int, block: int = BLOCK) -> Iterator[bytes]:
@@ -270,7 +267,7 @@ def _answered(shared, order: int):
             for block, shard, size, more in asked:
                 found = logs[np.searchsorted(grams, _unpacked(spool.read(size), order + 1))]
                 times = np.fromiter(map(taught.__getitem__, words_in(spool.read(more))), np.int64)
-                row = (block, shard, zstandard.ZstdCompressor(level=1).compress(found.astype("<f8").tobytes()), _packed(times, 8))
+                row = (block, shard, zstandard.ZstdCompressor(level=3).compress(found.astype("<f4").tobytes()), _packed(times, 8))
                 yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
             row = (NO_BLOCK, asked[0][1], None, _packed(np.array([sum(map(bool, taught.values()))]), 8))
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
@@ -431,7 +428,7 @@ def _scorer(order: int, shards: int, end_times: int):
         spots, start = _shards_of_words(words, shards)
         logs, times = np.empty(len(grams)), np.empty(len(words), np.int64)
         for shard, (answer, found) in answers.items():
-            logs[places[begin[shard] : begin[shard + 1]]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(answer), "<f8")
+            logs[places[begin[shard] : begin[shard + 1]]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(answer), "<f4")
             times[spots[start[shard] : start[shard + 1]]] = _unpacked(found, 8)
         by_word = dict(zip(words, np.log10(times + SMOOTH).tolist()))
         unknown = {words[i] for i in np.flatnonzero(times == 0)}

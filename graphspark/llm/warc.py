@@ -6,15 +6,17 @@ character borders into a first record and continuation records with an origin id
 last one states the total length. Spark's text writer with the record separator as its line end makes gzip
 WARC files in the shared folder, with the usual commit protocol, so a lost task leaves no half file behind.
 
-Reading: files are streamed through a decompressor and a parser that holds one record at a time. Whole
-records are decoded at once. Segments are grouped by origin, ordered by number, checked for gaps and for the
-total length, and decoded; a group is one page.
+Reading: Spark's text reader streams gzip files, cut at the record separator, and a parser joins the pieces and holds one
+record at a time, so that a file may have any size. Plain files, which that reader would split, are read whole.
+Whole records are decoded at once. Segments are grouped by origin, ordered by number, checked for gaps and for the
+total length, and decoded; a group is one page. Payloads must have the digests that their records state.
 
 Only page ids, digests and lengths are compared across pages; a payload is moved once, to its page's verdict.
 
 Nulls and edge cases: a null html is an empty payload, and empty payloads equal one another; a null page_id is a
 response where no row with an id has its payload, else a revisit; rows repeating a page_id and payload are the same record and each a response
-(or revisit) like the first; a null url is written as an empty target; line ends in a url are percent-encoded;
+(or revisit) like the first, with a record id of its own, so that a revisit's reference to a repeated response names none of the
+copies; a null url is written as an empty target; line ends in a url are percent-encoded;
 an empty table gives no rows; other columns are ignored.
 """
 
@@ -24,8 +26,10 @@ import base64
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 from functools import partial
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import materialize, shared_dir, table
 
 CRLF = "\r\n"
+SEPARATOR = CRLF * 2
 SEGMENT = 32 << 10
 CHUNK = 8 << 10
 PER_FILE = 20_000
@@ -83,17 +88,23 @@ def _record(headers: list[tuple[str, str]], block: str) -> str:
     return CRLF.join(["WARC/1.1", *lines, "", block])
 
 
-def records(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, unique: str, segment: int = SEGMENT) -> Iterator[str]:
+def _name(page_id: int | None, digest: str, unique: str) -> str:
+    """A page's record id: its number and payload; copies of a row and rows without a number are told apart by `unique`."""
+    return f"urn:page:{'' if page_id is None else page_id}:{digest}{unique and ':' + unique}"
+
+
+def records(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, unique: str, date: str, segment: int = SEGMENT) -> Iterator[str]:
     """The records of one page, without the two line ends that close each."""
     payload = html or ""
     raw = payload.encode("utf-8")
-    name = f"urn:page:{'' if page_id is None else page_id}:{unique}"
+    digest = base32_sha1(raw)
+    name = _name(page_id, digest, unique)
     common = [
-        ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")),
-        ("WARC-Payload-Digest", f"sha1:{base32_sha1(raw)}"), ("X-Payload-Length", str(len(raw))),
+        ("WARC-Date", date), ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")),
+        ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(len(raw))),
     ]
     if refers_to is not None:
-        headers = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{name}>"), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        headers = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{name}>"), *common, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<{_name(refers_to, digest, '')}>")]
         yield _record(headers, "HTTP/1.1 200 OK" + CRLF + CRLF)
         return
     pieces = list(_cut(_HTTP + chunked(payload), segment))
@@ -103,18 +114,18 @@ def records(page_id: int | None, url: str | None, html: str | None, refers_to: i
         first.append(("WARC-Segment-Number", "1"))
     yield _record(first, pieces[0])
     for number, piece in enumerate(pieces[1:], 2):
-        headers = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{name}.{number}>"), ("WARC-Segment-Origin-ID", f"<{name}>"), ("WARC-Segment-Number", str(number))]
+        headers = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{name}.{number}>"), ("WARC-Date", date), ("WARC-Segment-Origin-ID", f"<{name}>"), ("WARC-Segment-Number", str(number))]
         if number == len(pieces):
             headers.append(("WARC-Segment-Total-Length", str(total)))
         yield _record(headers, piece)
 
 
 def _written(batches: Iterator[pa.RecordBatch], segment: int) -> Iterator[pa.RecordBatch]:
-    part, n = TaskContext.get().partitionId(), 0
+    part, n, date = TaskContext.get().partitionId(), 0, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     for batch in batches:
         out = []
-        for page_id, url, html, refers in zip(*(batch.column(i) for i in range(4))):
-            out += records(page_id.as_py(), url.as_py(), html.as_py(), refers.as_py(), f"{part}.{n}", segment)
+        for page_id, url, html, refers, lone in zip(*(batch.column(i) for i in range(5))):
+            out += records(page_id.as_py(), url.as_py(), html.as_py(), refers.as_py(), "" if lone.as_py() else f"{part}.{n}", date, segment)
             n += 1
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
@@ -126,44 +137,57 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, segment: int
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    ids = keyed.filter(F.octet_length("html") >= min_bytes).select("page_id", "sha1").distinct()
-    keepers = ids.groupBy("sha1").agg(F.max("page_id").alias("keeper"))
-    revisits = ids.join(keepers, "sha1").filter(~F.col("page_id").eqNullSafe(F.col("keeper"))).select(F.col("page_id").alias("p"), F.col("sha1").alias("s"), "keeper")
-    judged = keyed.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s")), "left")
-    lines = judged.select("page_id", "url", "html", "keeper").mapInArrow(partial(_written, segment=segment), "value string")
-    lines.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of every record of a gzip or plain WARC file, one at a time."""
-    inflate = zlib.decompressobj(31) if data[:2] == b"\x1f\x8b" else None
-    view, fed, buffer, at = memoryview(data), 0, bytearray(), 0
+    # Rows of a page and payload: one, but for repeated rows. Counting them first leaves one row per page in the joins.
+    counted = keyed.groupBy("page_id", "sha1").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("html")).alias("size"))
+    keepers = counted.filter(F.col("size") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("keeper"))
+    # Where no row of a payload has an id, the keeper is null and all are responses.
+    facts = counted.join(keepers, "sha1", "left").withColumn("keeper", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")))
+    odd = facts.filter("keeper IS NOT NULL OR n > 1").select(F.col("page_id").alias("p"), F.col("sha1").alias("s"), "keeper", "n")
+    judged = keyed.join(odd, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha1") == F.col("s")), "left")
+    lone = F.col("page_id").isNotNull() & (F.coalesce("n", F.lit(1)) == 1)
+    lines = judged.select("page_id", "url", "html", "keeper", lone.alias("lone")).mapInArrow(partial(_written, segment=segment), "value string")
+    lines.write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+
+
+def inflated(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The bytes of a gzip file's members, or of a plain file as they are."""
+    inflate, first = None, True
+    for piece in pieces:
+        if first and piece:
+            first = False
+            inflate = zlib.decompressobj(31) if piece[:2] == b"\x1f\x8b" else None
+        while inflate and piece:
+            yield inflate.decompress(piece)
+            piece = inflate.unused_data if inflate.eof else b""
+            if inflate.eof:
+                inflate = zlib.decompressobj(31)
+        if piece:
+            yield piece
+
+
+def parse(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of every record of WARC files given in pieces, one at a time."""
+    source, buffer, at = inflated(pieces), bytearray(), 0
 
     def more() -> bool:
-        nonlocal fed, inflate, buffer, at
+        nonlocal buffer, at
         if at > 1 << 20:
             del buffer[:at]
             at = 0
-        if inflate and inflate.eof and inflate.unused_data[:2] == b"\x1f\x8b":  # the next gzip member
-            rest = inflate.unused_data
-            inflate = zlib.decompressobj(31)
-            buffer += inflate.decompress(rest)
-            return True
-        if fed >= len(view):
+        piece = next(source, None)
+        if piece is None:
             return False
-        piece = view[fed : fed + (1 << 16)]
-        fed += len(piece)
-        buffer += inflate.decompress(inflate.unused_data + bytes(piece) if inflate.eof else piece) if inflate else piece
+        buffer += piece
         return True
 
     while True:
-        while (end := buffer.find(b"\r\n\r\n", at)) < 0:
+        searched = 0
+        while (end := buffer.find(b"\r\n\r\n", at + searched)) < 0:
+            searched = max(0, len(buffer) - at - 3)
             if not more():
                 if bytes(buffer[at:]).strip():
                     raise ValueError("a record's header is cut off")
                 return
-            if at > len(buffer):
-                at = len(buffer)
         head = bytes(buffer[at:end])
         if not head.strip():
             at = end + 2
@@ -194,31 +218,40 @@ def _payload(block: bytes) -> bytes:
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _checked(payload: bytes, stated: str | None) -> str:
+    """The payload's digest, which must be the one stated."""
+    digest = base32_sha1(payload)
+    if stated and stated != digest:
+        raise ValueError(f"a payload has the digest {digest}, {stated} stated")
+    return digest
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], whole_files: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of whole files, or of a file's pieces in order, each without the separator after it."""
     schema = pa.schema([("page_id", pa.int64()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-    for batch in batches:
-        for content in batch.column(0):
+    values = (v.as_py() for batch in batches for v in batch.column(0).cast(pa.binary()))
+    sources = (parse([v]) for v in values) if whole_files else [parse(v + SEPARATOR.encode() for v in values)]
+    rows, held = [], 0
+    for headers, block in chain.from_iterable(sources):
+        kind = headers["warc-type"]
+        number = int(headers.get("warc-segment-number", 0))
+        name = headers["warc-record-id"]
+        stated = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        if kind == "revisit":
+            rows.append((_page(name), None, None, None, None, int(headers["x-payload-length"]), stated, kind, _page(headers["warc-refers-to"])))
+        elif number:
+            origin = headers.get("warc-segment-origin-id", name)
+            total = headers.get("warc-segment-total-length")
+            rows.append((_page(origin), origin, number, total and int(total), block, None, stated, "response", None))
+            held += len(block)
+        elif kind == "response":
+            payload = _payload(block)
+            rows.append((_page(name), None, None, None, None, len(payload), _checked(payload, stated), kind, None))
+        if len(rows) >= 5000 or held > 8 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
             rows, held = [], 0
-            for headers, block in parse(content.as_py()):
-                kind = headers["warc-type"]
-                number = int(headers.get("warc-segment-number", 0))
-                name = headers["warc-record-id"]
-                if kind == "revisit":
-                    digest = headers["warc-payload-digest"].removeprefix("sha1:")
-                    rows.append((_page(name), None, None, None, None, int(headers["x-payload-length"]), digest, kind, _page(headers["warc-refers-to"])))
-                elif number:
-                    origin = headers.get("warc-segment-origin-id", name)
-                    total = headers.get("warc-segment-total-length")
-                    rows.append((_page(origin), origin, number, total and int(total), block, None, None, "response", None))
-                    held += len(block)
-                elif kind == "response":
-                    payload = _payload(block)
-                    rows.append((_page(name), None, None, None, None, len(payload), base32_sha1(payload), kind, None))
-                if len(rows) >= 5000 or held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def reassemble(numbers: list[int], totals: list[int | None], blocks: list[bytes]) -> bytes:
@@ -236,15 +269,19 @@ def reassemble(numbers: list[int], totals: list[int | None], blocks: list[bytes]
 def _joined(key: tuple, group: pa.Table) -> pa.Table:
     block = reassemble(group["number"].to_pylist(), group["total"].to_pylist(), group["block"].to_pylist())
     payload = _payload(block)
-    return pa.table({"page_id": pa.array([group["page_id"][0].as_py()], pa.int64()), "payload_bytes": pa.array([len(payload)], pa.int64()), "payload_digest": pa.array([base32_sha1(payload)]), "record_type": pa.array(["response"]), "refers_to": pa.array([None], pa.int64())})
+    digest = _checked(payload, next((d for d in group["payload_digest"].to_pylist() if d), None))
+    return pa.table({"page_id": pa.array([group["page_id"][0].as_py()], pa.int64()), "payload_bytes": pa.array([len(payload)], pa.int64()), "payload_digest": pa.array([digest]), "record_type": pa.array(["response"]), "refers_to": pa.array([None], pa.int64())})
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page in the archives."""
-    parsed = materialize(spark.read.format("binaryFile").load(path).select("content").mapInArrow(_parsed, _PARSED), "warc-parsed")
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of every page in the *.gz and *.warc files at path."""
+    pieces = spark.read.option("lineSep", SEPARATOR).option("pathGlobFilter", "*.gz").text(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(path).select("content")
+    found = pieces.mapInArrow(partial(_parsed, whole_files=False), _PARSED).unionByName(files.mapInArrow(partial(_parsed, whole_files=True), _PARSED))
+    parsed = materialize(found, "warc-parsed")
     shape = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     whole = parsed.filter("origin IS NULL").select(*shape)
-    cut = parsed.filter("origin IS NOT NULL").select("page_id", "origin", "number", "total", "block")
+    cut = parsed.filter("origin IS NOT NULL").select("page_id", "origin", "number", "total", "block", "payload_digest")
     joined = cut.groupBy("origin").applyInArrow(_joined, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return whole.unionByName(joined)
 

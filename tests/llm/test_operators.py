@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -442,6 +444,36 @@ def test_warc_round_trip(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_warc_records_are_named_and_dated(spark, tmp_path):
+    table = spark.createDataFrame([(3, "u", "same"), (9, "u", "same"), (5, None, "other" * 20_000)], "page_id long, url string, html string")
+    warc.write_archives(table, f"{tmp_path}/w")
+    found = [h for f in tmp_path.glob("w/*.gz") for h, _ in warc.parse([f.read_bytes()])]
+    names = [h["warc-record-id"] for h in found]
+    assert len(set(names)) == len(names) == 6 and all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["warc-date"]) for h in found)
+    revisit = next(h for h in found if h["warc-type"] == "revisit")
+    assert revisit["warc-refers-to"] in names and warc._page(revisit["warc-refers-to"]) == 9
+
+
+def test_warc_reading_checks_digests(spark, tmp_path):
+    text = next(warc.records(1, "u", "abc", None, "0.0", "2026-01-01T00:00:00Z")).replace("abc", "abd") + "\r\n\r\n"
+    (tmp_path / "a.warc").write_text(text, newline="")
+    with pytest.raises(Exception, match="digest"):
+        warc.read_archives(spark, f"{tmp_path}/a.warc").collect()
+
+
+def test_warc_reads_other_archives(spark, tmp_path):
+    """Plain files, several gzip members in a file, and pieces of any size fed to the parser."""
+    page = [f"{r}\r\n\r\n".encode() for i in range(20) for r in warc.records(i, "u", f"{i}" * 300 + "\r\n\r\n", None, "0.0", "2026-01-01T00:00:00Z", 100)]
+    (tmp_path / "a.warc").write_bytes(b"".join(page))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in page))
+    for name in ("a.warc", "b.warc.gz"):
+        got = warc.read_archives(spark, f"{tmp_path}/{name}").collect()
+        assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, 300 * len(str(i)) + 4) for i in range(20)]
+    whole = b"".join(page)
+    for size in (1, 7, 1000):
+        assert [b for _, b in warc.parse(whole[i : i + size] for i in range(0, len(whole), size))] == [b for _, b in warc.parse([whole])]
+
+
 def test_warc_empty_table(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/w")
     assert warc.read_archives(spark, f"{tmp_path}/w").count() == 0
@@ -468,6 +500,38 @@ def test_quality_over_odd_rows(spark, docs, empty):
     assert quality.score(empty, none).count() == 0 and quality.keep_good(docs, none).columns == docs.columns
 
 
+def test_pairwise_fit_equals_newton():
+    """The weights against Newton's method on the differences themselves."""
+    draw = np.random.default_rng(2)
+    z = draw.normal(size=(60, 4))
+    better, worse = draw.integers(0, 30, 500), draw.integers(30, 60, 500)
+    z[:30, 0] += 1
+    w, d, ridge = np.zeros(4), z[better] - z[worse], 1e-2
+    for _ in range(50):
+        wins = 1 / (1 + np.exp(-(d @ w)))
+        w -= np.linalg.solve((d.T * (wins * (1 - wins))) @ d / 500 + ridge * np.eye(4), d.T @ (wins - 1) / 500 + ridge * w)
+    assert quality.fit(z, better, worse, ridge) == pytest.approx(w, abs=1e-3)
+
+
+def test_quality_features_are_shares():
+    texts = ["ab ab cd", None, "", "é" * 5, "x " * 3_000_000]
+    x = quality.features(texts)
+    assert x.shape == (5, quality.FEATURES) and np.isfinite(x).all() and not x[1:3].any()
+    for row, text in zip(x[[0, 3, 4]], (texts[0], texts[3], texts[4])):
+        words, grams = row[: quality.WORDS] ** 2, row[quality.WORDS : -quality.SHAPES] ** 2
+        assert words.sum() == pytest.approx(1, abs=1e-3) and grams.sum() == pytest.approx(1, abs=1e-3)
+        counts = Counter(zlib.crc32(w) % quality.WORDS for w in text.encode().split())
+        assert all(words[k] == pytest.approx(n / sum(counts.values()), abs=1e-3) for k, n in counts.items())
+
+
+def test_quality_learns_each_label_once(spark):
+    texts = [(i % 7, "good clean prose of words " * 3 if i % 7 % 2 else "!!! BUY $$$ NOW " * 4) for i in range(700)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)] * 3, "doc_id long, quality int")
+    model = quality.learn(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    got = quality.score(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()
+    assert {(r.doc_id % 2, r.predicted) for r in got} == {(0, 0), (1, 1)}
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
