@@ -1,6 +1,7 @@
 """Document fingerprints by Order MinHash, in DataFrame operations only.
 
-A text is the list of its K-word windows, each numbered by its earlier occurrences, so that repeats count.
+A text is the list of its K-word windows, each numbered by its earlier occurrences, so that repeats count. A word of
+more than LONG_WORD characters counts as its characters, which serves texts without spaces.
 One 64-bit hash of (window, number) gives a class, one of CLASSES (the first bits: one permutation per class,
 as in one-permutation hashing), and a rank inside it. Each class selects its PICKS smallest members, puts
 them back in text order and hashes the tuple: moving a passage changes the order and so the hash, which
@@ -29,6 +30,7 @@ from .common import table
 
 K = 3
 PICKS = 2
+LONG_WORD = 24
 CLASS_BITS = 6
 CLASSES = 1 << CLASS_BITS
 #: Bits of a long that hold a window's place in the text; the others hold its hash.
@@ -49,6 +51,7 @@ def with_order_minhash(df: DataFrame, text_col: str, out: str, k: int = K) -> Da
         return frame.select(*rest, *[F.expr(e).alias(c) for c, e in columns.items()])
 
     frame = step(df, _words=f"filter(split({text_col}, '\\\\s+'), w -> w <> '')")
+    frame = step(frame, _words=f"if(exists(_words, w -> length(w) > {LONG_WORD}), flatten(transform(_words, w -> if(length(w) > {LONG_WORD}, split(w, ''), array(w)))), _words)")
     frame = step(frame, _n=f"if(size(_words) = 0, 0, greatest(1, size(_words) - {k - 1}))", _words="_words")
     frame = step(frame, _sorted=f"sort_array(transform(if(_n = 0, array(), sequence(0, _n - 1)), i -> (xxhash64({word}) & ~{_LOW}L) | i))")
     frame = step(

@@ -251,6 +251,58 @@ def test_order_minhash(spark, docs, empty):
     assert len(alone) == 1 and alone[0].near_next == 1.0
 
 
+def _order_minhash(text: str) -> dict[int, int]:
+    """The hash of each class's ordered tuple, by brute force."""
+    def signed(x: int, bits: int = 64) -> int:
+        return x - (1 << bits) if x >> (bits - 1) else x
+
+    def chained(*parts: bytes) -> int:
+        seed = 42
+        for part in parts:
+            seed = xxh64_intdigest(part, seed)
+        return signed(seed)
+
+    words = []
+    for w in re.split(r"[ \t\n\x0b\f\r]+", text):
+        words += [c for c in w] if len(w) > orderhash.LONG_WORD else [w] if w else []
+    low = (1 << orderhash.PLACE) - 1
+    seen: Counter = Counter()
+    classes = defaultdict(list)
+    for i in range(max(1, len(words) - orderhash.K + 1) if words else 0):
+        own = chained(*(w.encode() for w in words[i : i + orderhash.K])) >> orderhash.PLACE
+        member = chained(own.to_bytes(8, "little", signed=True), seen[own].to_bytes(4, "little")) & ~low | i
+        seen[own] += 1
+        classes[member >> (64 - orderhash.CLASS_BITS)].append(member)
+    out = {}
+    for c, members in classes.items():
+        mixed = 42
+        for v in sorted(sorted(members)[: orderhash.PICKS], key=lambda v: v & low):
+            mixed = chained(signed(mixed % (1 << 64)).to_bytes(8, "little", signed=True), (v >> orderhash.PLACE).to_bytes(8, "little", signed=True))
+        out[c + orderhash.CLASSES // 2] = mixed & 0xFFFFFFFF
+    return out
+
+
+def test_order_minhash_equals_brute_force(spark, docs):
+    def text_of(f):
+        return "".join(f"{c:02x}{h:08x}" for c, h in sorted(f.items()))
+
+    def likeness(a, b):
+        return len(a.items() & b.items()) / len(a.keys() | b.keys()) if a or b else 1.0
+
+    draw = random.Random(4)
+    texts = [None, "", "a", "a b", "a a a a a a a", "long" * 500, "漢字" * 300 + " x", "é " * 40, *(" ".join(draw.choice("abcdefgh") * draw.randint(1, 30) for _ in range(draw.randint(1, 400))) for _ in range(30))]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in orderhash.edited_neighbours(table).collect()}
+    for i, text in enumerate(texts):
+        text, after = text or "", texts[(i - 1) % len(texts)] or ""
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        own, other, of_edited = map(_order_minhash, (text, after, edited))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (text_of(own), text_of(of_edited)), i
+        assert got[i].near_edited == pytest.approx(likeness(own, of_edited)) and got[i].near_next == pytest.approx(likeness(own, other))
+    assert 0 < got[5].near_edited < 1
+
+
 def test_order_minhash_sees_order(spark):
     words = [f"w{i}" for i in range(400)]
     moved = words[200:] + words[:200]
