@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import joins, pages, usage
+from ..operators.metadata import entity_metadata
+from ..storage import stored
 from . import fixture
 from .registry import query
 
@@ -26,7 +28,7 @@ project_of AS (SELECT method_id, project_id FROM (SELECT m.method_id, p.project_
     FROM methods m JOIN projects p ON starts_with(m.path, left(p.project_path, length(p.project_path) - 8))) WHERE r = 1),
 packages AS (SELECT k AS package_id, nm AS name, lower(nm) AS canonical_key, b, x FROM v_package),
 memberships AS (SELECT DISTINCT project_id, package_id FROM projects, packages WHERE (project_id + b + x) % 3 = 0),
-uses AS MATERIALIZED (SELECT ok AS method_id, CASE WHEN pk % 11 = 0 THEN 'P' || pk || '[]' ELSE upper(brand) || '.s' || (size % 4) || '.P' || pk END AS reference, CASE WHEN pk % 11 = 0 THEN 'unresolved-type-reference' ELSE 'external-type-stub' END AS entity_type, rf, count(*) AS n FROM v_line GROUP BY ALL),
+uses AS MATERIALIZED (SELECT ok AS method_id, CASE WHEN pk % 11 = 0 THEN 'P' || pk || '[]' ELSE upper(brand) || '.s' || (size % 4) || '.P' || pk END AS reference, CASE WHEN pk % 11 = 0 THEN 'unresolved-type-reference' ELSE 'external-type-stub' END AS entity_type, CASE WHEN rf = 'R' THEN 'R' ELSE 'D' END AS rf, count(*) AS n FROM v_line GROUP BY ALL),
 counted AS (SELECT u.method_id, u.reference, u.entity_type, u.rf, u.n, o.project_id FROM uses u LEFT JOIN project_of o USING (method_id)),
 pairs AS (SELECT DISTINCT reference, package_id FROM (SELECT DISTINCT reference FROM uses) r JOIN packages p ON lower(reference) = lower(name) OR starts_with(lower(reference), lower(name) || '.')),
 hits AS (SELECT r.reference, m.project_id, count(*) AS c, min(m.package_id) AS package_id FROM pairs r JOIN memberships m USING (package_id) GROUP BY ALL),
@@ -49,18 +51,29 @@ class Inputs:
         self.methods = orders.selectExpr("ok AS method_id", "sk AS file_id", "sk AS type_id", "concat('M', ok, '(int)') AS signature")
         self.files = v["v_supplier"].selectExpr("sk AS file_id", "concat('src/r', rk, '/n', nk, '/s', sk, '.cs') AS path")
         self.packages = v["v_package"].selectExpr("k AS package_id", "nm AS name", "lower(nm) AS canonical_key", "b", "x")
-        self.memberships = self.projects.crossJoin(F.broadcast(self.packages)).filter("(project_id + b + x) % 3 = 0").select("project_id", "package_id").distinct()  # both sides are dimension tables
-        reference = "CASE WHEN pk % 11 = 0 THEN concat('P', pk, '[]') ELSE concat(upper(brand), '.s', size % 4, '.P', pk) END AS reference"
-        kind = "CASE WHEN pk % 11 = 0 THEN 'unresolved-type-reference' ELSE 'external-type-stub' END AS entity_type"
-        self.uses = v["v_line"].selectExpr("ok AS method_id", reference, kind, "rf", "'' AS resolution_reason").groupBy("method_id", "reference", "entity_type", "rf", "resolution_reason").agg(F.count(F.lit(1)).alias("uses"))
+        # Every package with the projects of its remainder, which takes no cross join.
+        self.memberships = self.projects.withColumn("_r", F.expr("(3 - project_id % 3) % 3")).join(self.packages.withColumn("_r", F.expr("(b + x) % 3")), "_r").select("project_id", "package_id").distinct()
+        self._lines, self._parts = v["v_line"], v["v_part"]
         self.types = v["v_supplier"].selectExpr("sk AS type_id", "concat('S', sk) AS name", "CASE WHEN sk % 10 = 0 THEN NULL ELSE nk END AS namespace_id")
         self.namespaces = v["v_nation"].selectExpr("nk AS namespace_id", "concat('Shop.N', nk) AS name")
 
     def project_of(self) -> DataFrame:
         return joins.source_project(self.methods.select("method_id", "file_id"), self.files, self.projects)
 
-    def attributed(self) -> DataFrame:
-        return usage.attributions(self.uses, self.project_of(), self.memberships, self.packages)
+    def uses(self) -> DataFrame:
+        """Counted from triples: a line is a method's use of a type, in a body if it was returned."""
+        reference = "CASE WHEN pk % 11 = 0 THEN concat('P', pk, '[]') ELSE concat(upper(brand), '.s', size % 4, '.P', pk) END"
+        p = "CASE WHEN rf = 'R' THEN 'core:dependsOnTypeInMethodBody' ELSE 'core:dependsOnTypeDeclaration' END AS p"
+        triples = self._lines.selectExpr("k AS seq", "cast(ok as string) AS s", p, "'E' AS o_kind", f"{reference} AS o_id", "cast(NULL as string) AS o_value")
+        kind = "CASE WHEN pk % 11 = 0 THEN 'unresolved-type-reference' ELSE 'external-type-stub' END"
+        values = F.map_from_arrays(F.array(F.lit("core:entityType"), F.lit("core:hasName"), F.lit("core:resolutionReason")), F.array(F.expr(kind), F.expr(reference), F.lit("")))
+        named = self._parts.select(F.col("pk").alias("seq"), F.expr(f"{reference} AS s"), F.explode(values).alias("p", "o_value")).withColumns({"o_kind": F.lit("L"), "o_id": F.lit(None).cast("string")})
+        found = usage.counted_uses(triples, ["dependsOnTypeDeclaration", "dependsOnTypeInMethodBody"], self.methods.selectExpr("cast(method_id as string) AS method_id"), entity_metadata(named, ["entity_type", "resolution_reason"]))
+        rf = F.when(F.col("p") == "core:dependsOnTypeInMethodBody", "R").otherwise("D").alias("rf")
+        return stored(found.select(F.col("method_id").cast("long").alias("method_id"), "reference", "entity_type", rf, "resolution_reason", "uses"), "uses")
+
+    def attributed(self, methods: DataFrame | None = None) -> DataFrame:
+        return stored(usage.attributions(self.uses(), self.methods if methods is None else methods, self.project_of(), self.memberships, self.packages), "attributed")
 
     def flat(self, attributed: DataFrame) -> DataFrame:
         return usage.usage_flat(attributed, self.methods, self.types, self.namespaces)
@@ -92,9 +105,10 @@ def package_dotted_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.dotted_match(references, "reference", packages, ["name"])
 
 
-@query(_ATTRIBUTION + " SELECT reason, entity_type, count(*) AS rows, sum(n)::BIGINT AS uses, count(DISTINCT package_id) AS packages FROM attributed GROUP BY ALL")
+@query(_ATTRIBUTION + """ SELECT CASE WHEN method_id % 40 = 0 THEN 'SourceMethodNotFound' ELSE reason END AS reason, entity_type, count(*) AS rows, sum(n)::BIGINT AS uses, count(DISTINCT CASE WHEN method_id % 40 <> 0 THEN package_id END) AS packages FROM attributed GROUP BY ALL""")
 def attribution_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Inputs(spark, sf_dir).attributed()
+    i = Inputs(spark, sf_dir)
+    found = i.attributed(i.methods.filter("method_id % 40 <> 0"))
     return found.groupBy("reason", "entity_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("uses").alias("uses"), F.countDistinct("package_id").alias("packages"))
 
 
@@ -152,9 +166,9 @@ def type_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.type_rollup(i.flat(declared), i.flat(body), i.unknown(declared), i.unknown(body))
 
 
-@query("SELECT l_partkey AS target, count(DISTINCT l_orderkey) AS callers, string_agg(DISTINCT 'M' || lpad(l_orderkey::VARCHAR, 9, '0'), ',' ORDER BY 'M' || lpad(l_orderkey::VARCHAR, 9, '0')) AS names FROM lineitem WHERE l_linenumber = 1 GROUP BY 1")
+@query("SELECT l_partkey AS target, count(DISTINCT l_orderkey) AS callers, string_agg(DISTINCT 'M' || lpad(l_orderkey::VARCHAR, 9, '0'), ',' ORDER BY 'M' || lpad(l_orderkey::VARCHAR, 9, '0')) AS names FROM lineitem GROUP BY 1")
 def called_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber = 1").select(F.col("l_partkey").alias("target"), F.concat(F.lit("M"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("caller"))
+    calls = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("target"), F.concat(F.lit("M"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("caller"))
     found = pages.adjacent(calls, "target", "caller", [F.col("caller")])
     return found.select("target", F.size("callers").cast("long").alias("callers"), F.array_join("callers", ",").alias("names"))
 
@@ -198,12 +212,11 @@ def path_unique_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unique_paths(pages.named_candidates(part, "packages", "name", "context"), "n").select("id", "path")
 
 
-@query("""WITH t AS (SELECT doc_id, substr(regexp_replace(text, '/', ' ', 'g'), 1, 200) AS raw FROM documents), d AS (SELECT doc_id, regexp_replace(regexp_replace(trim(raw), '[^\\pL\\p{Nd}._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS x FROM t)
+@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '/', ' ', 'g') AS raw FROM documents), d AS (SELECT doc_id, regexp_replace(regexp_replace(trim(raw), '[^\\pL\\p{Nd}._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS x FROM t)
 SELECT doc_id, CASE WHEN length(x) <= 120 THEN x ELSE CASE WHEN regexp_replace(left(x, 106), '-+$', '') = '' THEN left(x, 106) ELSE regexp_replace(left(x, 106), '-+$', '') END || '--' || left(sha256(x), 12) END AS segment FROM d""")
 def path_sanitize_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    raw = F.substring(F.regexp_replace("text", "/", " "), 1, 200)
-    return d.select("doc_id", text.path_segment(raw).alias("segment"))
+    return d.select("doc_id", text.path_segment(F.regexp_replace("text", "/", " ")).alias("segment"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '[[files/' || c_name || ']]' ELSE '[[files/' || c_name || '|' || c_mktsegment || ']]' END AS link, replace(c_name || '|' || c_mktsegment, '|', '\\|') AS escaped FROM customer")

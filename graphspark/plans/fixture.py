@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages", "documents", "conversations", "labels")
 
 #: Views by name. k is a number that is unique in the view.
@@ -204,11 +206,12 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def views(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The views as DataFrames; each is built from tables and views before it."""
+    """The views as DataFrames; each is built from tables and views before it. The one number of v_count goes in as a literal."""
     found = tables(spark, sf_dir)
+    suppliers = found["supplier"].count()
     for name, query in VIEWS.items():
-        needed = {n: df for n, df in found.items() if f" {n} " in f"{query} ".replace(",", " ").replace(")", " ")}
-        text = query
+        text = query.replace(" CROSS JOIN v_count", "").replace(" % c + 1", f" % {suppliers} + 1")
+        needed = {n: df for n, df in found.items() if f" {n} " in f"{text} ".replace(",", " ").replace(")", " ")}
         for n in needed:
             text = _named(text, n)
         found[name] = spark.sql(text, **needed)
@@ -222,10 +225,10 @@ def _named(query: str, name: str) -> str:
 
 
 def triples(spark: SparkSession, sf_dir: str, *predicates: str, subjects: tuple[str, ...] = ()) -> DataFrame:
-    """The fixture's triples of some predicates (all, if none is named) and subjects."""
+    """The fixture's triples of some predicates (all, if none is named) and subjects, stored by predicate."""
     found, out = views(spark, sf_dir), None
     for f in _chosen(predicates, subjects):
         part = spark.sql(_named(_select(f, "sha2({}, 256)", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"), f.view), **{f.view: found[f.view]})
         part = part.withColumn("o_id", F.col("o_id").cast("string")).withColumn("o_value", F.col("o_value").cast("string"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return stored(out, "triples", "p")
