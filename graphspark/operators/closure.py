@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,34 +11,38 @@ from ..storage import stored
 
 
 def closure(edges: DataFrame, limit: int | None = None) -> DataFrame:
-    """(s, o, depth) for every o reachable from s by (s, o) edges, depth the least number of edges.
+    """(s, o, depth, trail) for every o reachable from s by (s, o) edges, depth the least number of edges.
 
-    A node on a cycle reaches itself. Rounds are as many as the longest shortest path (or limit); every
-    round's pairs are written to the shared folder, so a plan never holds more than one round, and the pairs
-    already found are taken out by an anti join.
+    trail is the edges' numbers (column seq, where there is one) along the way, the least of all ways that are
+    as short: at a depth, a walk that takes edges in their order meets the nodes by trail. A node on a cycle
+    reaches itself. Rounds are as many as the longest shortest path (or limit). Every round's pairs are written
+    to the shared folder; those found before are taken out by an anti join with one table, which is
+    written anew when the rounds since have made it twice as large.
     """
-    steps = stored(edges.select("s", "o").distinct(), "closure-edges")
-    found = newest = stored(steps.withColumn("depth", F.lit(1)), "closure")
-    rounds = [found]
-    depth = 1
+    seq = F.col("seq") if "seq" in edges.columns else F.lit(0)
+    steps = stored(edges.groupBy("s", "o").agg(F.min(seq.cast("long")).alias("seq")), "closure-edges")
+    newest = stored(steps.select("s", "o", F.lit(1).alias("depth"), F.array("seq").alias("trail")), "closure")
+    whole, fresh, depth = newest, [], 1
+    size = added = 0
     while limit is None or depth < limit:
         depth += 1
-        reach = newest.select("s", F.col("o").alias("_via")).join(steps.select(F.col("s").alias("_via"), "o"), "_via").select("s", "o").distinct()
-        known = rounds[0]
-        for r in rounds[1:]:
-            known = known.unionByName(r)
-        newest = stored(reach.join(known.select("s", "o"), ["s", "o"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
-        if newest.isEmpty():
+        reach = newest.select("s", F.col("o").alias("_via"), "trail").join(steps.select(F.col("s").alias("_via"), "o", "seq"), "_via")
+        reach = reach.groupBy("s", "o").agg(F.min(F.concat("trail", F.array("seq"))).alias("trail"))
+        for known in (whole, *fresh):
+            reach = reach.join(known.select("s", "o"), ["s", "o"], "left_anti")
+        newest = stored(reach.select("s", "o", F.lit(depth).alias("depth"), "trail"), "closure")
+        count = newest.count()
+        if not count:
             break
-        rounds.append(newest)
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
+        fresh.append(newest)
+        size, added = size or whole.count(), added + count
+        if added > size:
+            whole, fresh, size, added = stored(reduce(DataFrame.unionByName, (whole, *fresh)), "closure"), [], size + added, 0
+    return reduce(DataFrame.unionByName, (whole, *fresh))
 
 
 def base_types(inherits: DataFrame) -> DataFrame:
-    """All base types of each type, nearest first (by depth)."""
+    """All base types of each type, nearest first by depth and trail."""
     return closure(inherits)
 
 

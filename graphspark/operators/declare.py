@@ -18,6 +18,16 @@ def merge_methods(found: DataFrame) -> DataFrame:
     return found.groupBy("type", key.alias("method_key")).agg(F.min(F.struct("path", "line", "column")).alias("place"), F.count(F.lit(1)).alias("declarations"))
 
 
+def merge_members(found: DataFrame) -> DataFrame:
+    """Members (type, kind, name, path, line, column) once per kind and name of a type, with the first place."""
+    return found.groupBy("type", F.concat_ws(":", "kind", "name").alias("member_key")).agg(F.min(F.struct("path", "line", "column")).alias("place"), F.count(F.lit(1)).alias("declarations"))
+
+
+def bodies(found: DataFrame) -> DataFrame:
+    """Declarations (kind, has_body, ...) whose bodies are read: methods and constructors, not accessors, local functions or top-level code."""
+    return found.filter(F.col("kind").isin("method", "constructor") & F.col("has_body"))
+
+
 def method_signature(type_path: Column, name: Column, arity: Column, parameters: Column) -> Column:
     """Type.Name`arity(a, b)"""
     generic = F.when(arity > 0, F.concat(F.lit("`"), arity.cast("string"))).otherwise(F.lit(""))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import literal_id
+from ..schema import is_a
 from ..storage import stored
 
 FAR = 1 << 30
@@ -90,8 +91,17 @@ def link_violations(pages: DataFrame, required: DataFrame, heading: str) -> Data
     return missing.union(unsectioned).union(empty).union(plain)
 
 
-def exit_code(status_failed: bool, diagnostics: int, allow_diagnostics: bool) -> int:
-    """1 for a failed run; 2 for one with diagnostics unless they are allowed; else 0."""
-    if status_failed:
-        return 1
-    return 2 if diagnostics and not allow_diagnostics else 0
+def exit_code(runs: DataFrame) -> DataFrame:
+    """runs (failed, diagnostics, allow_diagnostics, ...) with code: 1 for a failed run; 2 for one with diagnostics unless they are allowed; else 0."""
+    return runs.withColumn("code", F.when(F.col("failed"), 1).when((F.col("diagnostics") > 0) & ~F.col("allow_diagnostics"), 2).otherwise(0))
+
+
+def method_counts(declares: DataFrame) -> DataFrame:
+    """(file_id, methods): different methods that each file declares, of rows (file_id, method_id) with repeats."""
+    return declares.groupBy("file_id").agg(F.countDistinct("method_id").alias("methods"))
+
+
+def branch_of(triples: DataFrame, repository_id: str, p: str) -> str:
+    """The first literal of the repository's predicate, or `unknown` if there is none or it is blank."""
+    found = triples.filter(is_a(p) & (F.col("s") == repository_id) & (F.col("o_kind") == "L")).agg(F.min_by("o_value", "seq").alias("v")).first().v
+    return found if (found or "").strip() else "unknown"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import stable_id
 from ..functions.kinds import resolution_status
 from ..schema import RELATIONS
 from .closure import base_types, implemented_interfaces
@@ -45,8 +46,8 @@ def overridden_methods(methods: DataFrame, inherits: DataFrame) -> tuple[DataFra
     keyed = match_key(methods)
     mine = keyed.filter("is_override").select("method_id", "type_id", "match_key")
     theirs = keyed.select(F.col("method_id").alias("target_id"), F.col("type_id").alias("base_id"), "match_key")
-    above = base_types(inherits).select(F.col("s").alias("type_id"), F.col("o").alias("base_id"), "depth")
-    found = nearest(mine.join(above, "type_id").join(theirs, ["base_id", "match_key"]), ["method_id"], [F.col("depth"), F.col("base_id"), F.col("target_id")])
+    above = base_types(inherits).select(F.col("s").alias("type_id"), F.col("o").alias("base_id"), "depth", "trail")
+    found = nearest(mine.join(above, "type_id").join(theirs, ["base_id", "match_key"]), ["method_id"], [F.col("depth"), F.col("trail"), F.col("base_id"), F.col("target_id")])
     links = found.select("method_id", "target_id")
     return links, mine.join(links, "method_id", "left_anti").select("method_id")
 
@@ -82,6 +83,25 @@ def call_outcomes(calls: DataFrame) -> DataFrame:
     return calls.select("*", outcome.alias("outcome"), reason.alias("reason"))
 
 
+def call_triples(judged: DataFrame) -> DataFrame:
+    """Calls (source_method_id, outcome, reason, method_id, external_type, target_text) as one triple per invocation.
+
+    An unresolved call leads to a placeholder keyed by its reason and text, an external one to its type's stub.
+    """
+    target = (
+        F.when(F.col("outcome") == "internal", F.col("method_id")).when(F.col("outcome") == "external", stable_id("external-type-stub", F.col("external_type")))
+        .otherwise(stable_id("unresolved-call-target", F.concat("reason", F.lit(":"), F.trim("target_text"))))
+    )
+    return judged.select(F.col("source_method_id").alias("s"), F.lit("core:calls").alias("p"), target.alias("o"))
+
+
+def call_diagnostics(judged: DataFrame) -> DataFrame:
+    """(code, message) of calls that led nowhere."""
+    unmatched = F.col("reason") == "internal-target-unmatched"
+    code = F.when(unmatched, "method:call:internal-target-unmatched").otherwise("method:call:resolution:failed")
+    return judged.filter("outcome = 'unresolved'").select(code.alias("code"), F.concat_ws(": ", "source_method_id", "reason", "target_text").alias("message"))
+
+
 def access_edges(accesses: DataFrame) -> DataFrame:
     """accesses (method_id, member_id, is_field, access_kind) as distinct (s, p, o) reads and writes."""
     table = accesses.sparkSession.createDataFrame(ACCESS, "access_kind string, reads boolean, writes boolean")

@@ -66,5 +66,29 @@ def signature_links(linked: DataFrame, p: str) -> DataFrame:
     return edge.unionByName(linked.select(F.col("method_id").alias("s"), F.lit("core:dependsOnTypeDeclaration").alias("p"), F.col("target_id").alias("o")))
 
 
+def base_links(linked: DataFrame, p: str) -> DataFrame:
+    """Base types and interfaces (source_id, target_id) as triples: every outcome has its edge, to a stub or placeholder if need be."""
+    return linked.select(F.col("source_id").alias("s"), F.lit(f"core:{p}").alias("p"), F.col("target_id").alias("o"))
+
+
+def declaring_type_links(types: DataFrame) -> DataFrame:
+    """types (type_id, qualified_name, declaring_name) as triples from nested types to the types that declare them."""
+    outer = types.select(F.col("qualified_name").alias("declaring_name"), F.col("type_id").alias("o"))
+    return types.join(outer, "declaring_name").select(F.col("type_id").alias("s"), F.lit("core:hasDeclaringType").alias("p"), "o")
+
+
+def unwrapped(type_text: Column) -> Column:
+    """The type that arrays, pointers, nullables and type arguments are made of; null for dynamic and blank text."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(type_text), r"(\s*(\[[\s,]*\]|\*|\?))+$", ""), r"<.*>", ""))
+    return F.when((bare != "") & (bare != "dynamic"), F.regexp_replace(bare, "global::", ""))
+
+
+def body_targets(uses: DataFrame, types: DataFrame) -> DataFrame:
+    """uses (method_id, type_text) with target_id: the declared type of that name, else a stub; what could be neither is dropped."""
+    named = uses.withColumn("qualified_name", unwrapped(F.col("type_text"))).join(types.select("qualified_name", "type_id"), "qualified_name", "left")
+    stub = F.when(could_be_external(F.col("qualified_name")), stable_id("external-type-stub", F.col("qualified_name")))
+    return named.withColumn("target_id", F.coalesce("type_id", stub)).filter("target_id IS NOT NULL").drop("qualified_name", "type_id")
+
+
 def fallback_diagnostics(linked: DataFrame) -> DataFrame:
     return linked.filter("outcome = 'unresolved'").select(F.lit("type:resolution:fallback").alias("code"), F.trim("reference").alias("message"))

@@ -162,7 +162,7 @@ _CLOSURE = f"RECURSIVE edges AS (SELECT DISTINCT s, o FROM ({_TREE}) t), walk AS
 
 @query(f"WITH {_CLOSURE} SELECT * FROM closure")
 def base_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.base_types(_inherits(spark, sf_dir))
+    return C.base_types(_inherits(spark, sf_dir)).drop("trail")
 
 
 @query(f"WITH {_CLOSURE}, implements AS (SELECT s_suppkey AS s, 1 + s_suppkey % 7 AS o FROM supplier WHERE s_suppkey % 4 = 1), direct AS (SELECT s, o FROM implements UNION SELECT c.s, i.o FROM closure c JOIN implements i ON i.s = c.o) SELECT s, o FROM direct UNION SELECT d.s, c.o FROM direct d JOIN closure c ON c.s = d.o")
@@ -244,6 +244,28 @@ def calls_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.call_outcomes(facts).groupBy("outcome", "reason").agg(F.count(F.lit(1)).alias("calls"))
 
 
+_JUDGED = _WITH_CALLS + """, judged AS (SELECT *, CASE WHEN rf = 'R' AND ln = 1 THEN 'symbol-unresolved' WHEN ln = 2 AND ls = 'F' THEN 'missing-containing-type' WHEN ls = 'O' AND method_id IS NULL THEN 'internal-target-unmatched' END AS reason FROM matched),
+placed AS (SELECT call_id // 8 AS s, CASE WHEN reason IS NOT NULL THEN 'unresolved-call-target:' || sha256('unresolved-call-target:' || reason || ':' || name || '()') WHEN ls = 'O' THEN 'm:' || method_id ELSE 'external-type-stub:' || sha256('external-type-stub:X' || type_id) END AS o, reason FROM judged)"""
+
+
+def _judged_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = _calls(spark, sf_dir).selectExpr(
+        "NOT (rf = 'R' AND ln = 1) AS symbol_bound", "CASE WHEN ln = 2 AND ls = 'F' THEN NULL ELSE type_id END AS containing_type", "ls = 'O' AS internal", "concat('m:', method_id) AS method_id",
+        "call_id div 8 AS source_method_id", "concat('X', type_id) AS external_type", "concat(' ', name, '() ') AS target_text",
+    )
+    return relations.call_outcomes(facts)
+
+
+@query(_JUDGED + " SELECT s, o, count(*) AS triples FROM placed GROUP BY ALL")
+def call_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.call_triples(_judged_calls(spark, sf_dir)).groupBy("s", "o").agg(F.count(F.lit(1)).alias("triples"))
+
+
+@query(_JUDGED + " SELECT CASE reason WHEN 'internal-target-unmatched' THEN 'method:call:internal-target-unmatched' ELSE 'method:call:resolution:failed' END AS code, count(*) AS times FROM placed WHERE reason IS NOT NULL GROUP BY 1")
+def call_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.call_diagnostics(_judged_calls(spark, sf_dir)).groupBy("code").agg(F.count(F.lit(1)).alias("times"))
+
+
 @query("""WITH a(kind, reads, writes) AS (VALUES ('read', true, false), ('assign', false, true), ('compound-assign', true, true), ('increment', true, true), ('ref-argument', true, true), ('out-argument', false, true), ('nameof', false, false)),
 k AS (SELECT l_orderkey AS m, l_partkey AS t, l_partkey % 2 = 0 AS field, CASE l_linenumber WHEN 1 THEN 'read' WHEN 2 THEN 'assign' WHEN 3 THEN 'compound-assign' WHEN 4 THEN 'increment' WHEN 5 THEN 'ref-argument' WHEN 6 THEN 'out-argument' ELSE 'nameof' END AS kind FROM lineitem)
 SELECT DISTINCT m AS s, 'core:' || v || CASE WHEN field THEN 'Field' ELSE 'Property' END AS p, t AS o FROM k JOIN a USING (kind), LATERAL (SELECT 'reads' AS v WHERE reads UNION ALL SELECT 'writes' WHERE writes) x""")
@@ -316,3 +338,25 @@ def signature_link_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_LINKED + " SELECT 'type:resolution:fallback' AS code, trim(reference) AS message, count(*) AS times FROM linked WHERE outcome = 'unresolved' GROUP BY ALL")
 def fallback_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.fallback_diagnostics(_linked(spark, sf_dir)).groupBy("code", "message").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query(_LINKED + " SELECT p, target_id AS o, count(*) AS triples FROM linked, (VALUES ('core:inherits'), ('core:implements')) v(p) WHERE (p = 'core:implements') = (ref_id % 2 = 0) GROUP BY ALL")
+def base_link_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = _linked(spark, sf_dir).withColumn("source_id", F.col("ref_id"))
+    every = resolve.base_links(linked.filter("ref_id % 2 = 1"), "inherits").unionByName(resolve.base_links(linked.filter("ref_id % 2 = 0"), "implements"))
+    return every.groupBy("p", "o").agg(F.count(F.lit(1)).alias("triples"))
+
+
+@query("SELECT p_partkey AS s, p_partkey // 10 AS o FROM part WHERE p_partkey % 10 < 4 AND p_partkey // 10 IN (SELECT p_partkey FROM part)")
+def declaring_type_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS type_id", "concat('T', p_partkey) AS qualified_name", "CASE WHEN p_partkey % 10 < 4 THEN concat('T', p_partkey div 10) WHEN p_partkey % 10 < 7 THEN 'Elsewhere' END AS declaring_name")
+    return resolve.declaring_type_links(types).select("s", "o")
+
+
+@query("""WITH u AS (SELECT l_orderkey * 8 + l_linenumber AS use_id, l_partkey % 300 AS n, l_linenumber % 7 AS form FROM lineitem), t AS (SELECT DISTINCT p_partkey AS n FROM part WHERE p_partkey % 2 = 0)
+SELECT use_id, CASE WHEN t.n IS NOT NULL THEN 't:' || t.n ELSE 'external-type-stub:' || sha256('external-type-stub:N.T' || u.n) END AS target_id FROM u LEFT JOIN t USING (n) WHERE form NOT IN (5, 6)""")
+def body_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "CASE l_linenumber % 7 WHEN 0 THEN 'N.T{0}' WHEN 1 THEN 'N.T{0}[,][]' WHEN 2 THEN ' N.T{0}* ' WHEN 3 THEN 'global::N.T{0}<int, List<T>>' WHEN 4 THEN 'N.T{0}<X>[]?' WHEN 5 THEN 'dynamic' ELSE '(int, N.T{0})' END"
+    uses = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("use_id"), F.replace(F.expr(text), F.lit("{0}"), (F.col("l_partkey") % 300).cast("string")).alias("type_text"))
+    types = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 2 = 0").selectExpr("concat('N.T', p_partkey) AS qualified_name", "concat('t:', p_partkey) AS type_id")
+    return resolve.body_targets(uses, types).select("use_id", "target_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import joins, pages, usage
+from ..operators import joins, pages, render, usage
 from ..operators.metadata import entity_metadata
 from ..storage import stored
 from . import fixture
@@ -155,6 +155,33 @@ def unknown_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.unknown(i.attributed())
 
 
+@query(_ATTRIBUTION + f""", flat AS (SELECT {_FLAT} GROUP BY ALL) SELECT p.package_id, coalesce(sum(uses), 0)::BIGINT AS uses, count(DISTINCT namespace_name) AS namespaces FROM packages p LEFT JOIN flat USING (package_id) GROUP BY ALL""")
+def usage_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = Inputs(spark, sf_dir)
+    found = usage.attach_usage(i.packages, usage.usage_nested(i.flat(i.attributed())))
+    return found.select("package_id", "uses", F.size("namespaces").cast("long").alias("namespaces"))
+
+
+@query(_ATTRIBUTION + """, reported AS (SELECT *, CASE reason WHEN 'AmbiguousProjectScopedMatch' THEN 'ambiguous_project_scoped_match' WHEN 'NoProjectScopedMatch' THEN 'no_project_scoped_match' ELSE 'source_project_not_found' END AS why FROM unknown)
+SELECT 'packages/unknown-package-attribution.md' AS relative_path, rf AS section, depth, line, count(*) AS times FROM (
+ SELECT rf, 1 AS depth, '- ' || namespace_name || ' (' || sum(n)::BIGINT || ')' AS line FROM reported GROUP BY rf, namespace_id, namespace_name UNION ALL SELECT rf, 2, '  - [[types/' || type_name || '|' || type_name || ']] (' || sum(n)::BIGINT || ')' FROM reported GROUP BY rf, namespace_name, type_id, type_name
+ UNION ALL SELECT rf, 3, '    - ' || signature || ' -> `' || reference || '` (attribution: ' || why || ') (' || sum(n)::BIGINT || ')' FROM reported GROUP BY rf, type_id, method_id, signature, reference, why) GROUP BY ALL""")
+def unknown_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = Inputs(spark, sf_dir)
+    a = i.attributed()
+
+    def text_ids(flat: DataFrame) -> DataFrame:
+        return flat.withColumns({c: F.concat(F.lit(c[0]), F.col(c).cast("string")) for c in ("namespace_id", "type_id", "method_id")})
+
+    paths = i.types.selectExpr("concat('t', type_id) AS id", "concat('types/', name, '.md') AS path")
+    page = render.unknown_page(text_ids(i.unknown(a.filter("rf <> 'R'"))), text_ids(i.unknown(a.filter("rf = 'R'"))), paths, "repo")
+    parts = F.split("markdown", "\n## ")
+    sections = page.select("relative_path", F.explode(F.array(F.struct(F.lit("D").alias("section"), parts[1].alias("text")), F.struct(F.lit("R").alias("section"), parts[2].alias("text")))).alias("x"))
+    lines = sections.select("relative_path", "x.section", F.explode(F.split("x.text", "\n")).alias("line")).filter("line rlike '^ *- '")
+    depth = F.when(F.col("line").startswith("    "), 3).when(F.col("line").startswith("  "), 2).otherwise(1)
+    return lines.groupBy("relative_path", "section", depth.alias("depth"), "line").agg(F.count(F.lit(1)).alias("times"))
+
+
 @query(_ATTRIBUTION + " SELECT type_id, package_id, " + ", ".join(
     f"coalesce(sum(n) FILTER (package_id IS {null} AND rf {rf} 'R'), 0)::BIGINT AS {name}"
     for name, null, rf in (("declaration_uses", "NOT NULL", "<>"), ("body_uses", "NOT NULL", "="), ("declaration_unknown", "NULL", "<>"), ("body_unknown", "NULL", "="))

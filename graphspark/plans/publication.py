@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import declare, publish
+from ..sources import readers
 from . import fixture
 from .registry import graph, query
 
@@ -65,7 +66,15 @@ def link_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_suppkey AS file_id, count(DISTINCT l_orderkey) AS methods FROM lineitem GROUP BY 1")
 def method_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("file_id")).agg(F.countDistinct("l_orderkey").alias("methods"))
+    return publish.method_counts(spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_suppkey AS file_id", "l_orderkey AS method_id"))
+
+
+@query("SELECT 'main' AS head, 'trunk' AS mainline, 'unknown' AS other")
+def repository_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = graph(spark, sf_dir, "headBranch", "mainlineBranch", subjects=("repository",))
+    repository = t.first().s
+    found = [publish.branch_of(t, s, p) for s, p in ((repository, "headBranch"), (repository, "mainlineBranch"), ("none", "headBranch"))]
+    return spark.createDataFrame([tuple(found)], "head string, mainline string, other string")
 
 
 @query("SELECT p_type, trim(lower(regexp_replace(replace(p_type, ' ', ''), '([A-Z])', '_\\1', 'g')), '_') AS snake FROM part GROUP BY ALL")
@@ -99,9 +108,28 @@ def ini_section_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return declare.ini_sections(lines.withColumn("n", F.col("n_nationkey") * 10 + F.col("_i")).select("file", "n", "text"))
 
 
-@query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
-def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+@query("""WITH l AS (SELECT p_brand AS project_path, p_partkey AS n, 'Pkg' || (p_partkey % 40) AS id, CASE WHEN p_size % 2 = 0 THEN upper('Pkg' || (p_partkey % 40)) ELSE 'Pkg' || (p_partkey % 40) END AS shown, '1.' || p_size AS version FROM part WHERE p_size % 5 <> 0)
+SELECT project_path, lower(id) AS package_key, arg_max(shown, n) AS package_id, arg_max(version, n) AS resolved_version FROM l GROUP BY ALL""")
+def lock_file_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    shown = F.expr("CASE WHEN p_size % 2 = 0 THEN upper(concat('Pkg', p_partkey % 40)) ELSE concat('Pkg', p_partkey % 40) END")
+    entry = F.concat(F.lit('"'), shown, F.lit("/1."), F.col("p_size").cast("string"), F.expr("CASE WHEN p_size % 5 = 0 THEN '\": {\"type\": \"project\"}' ELSE '\": {\"type\": \"package\"}' END"))
+    # A library that a later entry repeats stands at the later place only.
+    last = part.withColumn("key", F.concat(shown, F.lit("/"), F.col("p_size").cast("string"))).groupBy("p_brand", "key").agg(F.max_by(F.struct("p_partkey", entry.alias("entry")), "p_partkey").alias("e"))
+    listed = last.groupBy(F.col("p_brand").alias("project_path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"]), ", ").alias("entries"))
+    return readers.resolved_packages(listed.select("project_path", F.concat(F.lit('{"libraries": {'), "entries", F.lit("}}")).alias("text")))
+
+
+@query("""SELECT p_brand AS type, 'k' || (p_size % 3) || ':' || p_type AS member_key, min('f' || (p_partkey % 50)) AS path, count(*) AS declarations FROM part GROUP BY ALL""")
+def member_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_brand AS type", "concat('k', p_size % 3) AS kind", "p_type AS name", "concat('f', p_partkey % 50) AS path", "p_size AS line", "1 AS column")
+    return declare.merge_members(rows).select("type", "member_key", "place.path", "declarations")
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 5 IN (0, 1) AND o_orderkey % 3 <> 0""")
+def bodies_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = "CASE o_orderkey % 5 WHEN 0 THEN 'method' WHEN 1 THEN 'constructor' WHEN 2 THEN 'accessor' WHEN 3 THEN 'local-function' ELSE 'top-level' END AS kind"
+    return declare.bodies(spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey AS id", kind, "o_orderkey % 3 <> 0 AS has_body")).select("id")
 
 
 @query("""WITH p AS (SELECT p_brand || '.' || p_type AS q, 'f' || (p_partkey % 50) AS path, CAST(p_size AS INTEGER) AS line, p_partkey % 10 = 0 AS flag FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY path, line) AS r, count(*) OVER (PARTITION BY q) AS n, bool_or(flag) OVER (PARTITION BY q) AS f FROM p)
@@ -139,6 +167,5 @@ def namespace_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 1 WHEN c_custkey % 3 > 0 AND c_custkey % 2 = 0 THEN 2 ELSE 0 END AS code FROM customer")
 def exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    code = F.when(F.col("c_custkey") % 5 == 0, publish.exit_code(True, 0, False)).when((F.col("c_custkey") % 3 > 0) & (F.col("c_custkey") % 2 == 0), publish.exit_code(False, 3, False)).otherwise(publish.exit_code(False, 3, True))
-    return c.select("c_custkey", code.alias("code"))
+    runs = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey", "c_custkey % 5 = 0 AS failed", "c_custkey % 3 AS diagnostics", "c_custkey % 2 = 1 AS allow_diagnostics")
+    return publish.exit_code(runs).select("c_custkey", "code")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import model, pages, render
+from ..operators import model, pages, publish, render
 from .registry import query
 from .structure import _structure
 
@@ -26,6 +26,14 @@ def solution_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.solution_pages(solutions, projects, paths, F.lit("repo"))
 
 
+@query("""WITH p AS (SELECT 'solutions/' || replace(r_name, ' ', '-') || '.md' AS relative_path FROM region UNION ALL SELECT 'namespaces/Shop/R' || n_regionkey || '/N' || n_nationkey || '.md' FROM nation
+UNION ALL SELECT 'namespaces/Shop/R' || r_regionkey || '.md' FROM region UNION ALL SELECT 'namespaces/Shop.md') SELECT CAST(row_number() OVER (ORDER BY relative_path) AS BIGINT) AS n, relative_path FROM p""")
+def pages_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, m = _structure(spark, sf_dir, "containsNamespace", "containsType", "typeKind", "accessibility", "arity", "isPartialType", subjects=("namespace", "type-declaration"), columns=["type_kind", "accessibility", "arity", "is_partial_type"])
+    every = render.assembled(solution_pages(spark, sf_dir), _namespace_pages(t, m))
+    return publish.ranked(every.select("relative_path"), ["relative_path"], "n").select(F.col("n").cast("long").alias("n"), "relative_path")
+
+
 @query("""SELECT 0 AS section_no, 'Solutions' AS section, r_name AS name, '| ' || r_name || ' | r' || r_regionkey || '.sln | `solution:' || sha256('solution:r' || r_regionkey || '.sln') || '` | [[solutions/' || replace(r_name, ' ', '-') || '|' || r_name || ']] |' AS row FROM region
 UNION ALL SELECT 1, 'Namespaces', 'Shop.R' || r_regionkey, '| Shop.R' || r_regionkey || ' | Shop.R' || r_regionkey || ' | `namespace:' || sha256('namespace:Shop.R' || r_regionkey) || '` | [[namespaces/Shop/R' || r_regionkey || '|Shop.R' || r_regionkey || ']] |' FROM region""")
 def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +49,16 @@ def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 'namespaces/Shop/R' || r_regionkey || '.md', (SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = r_regionkey AND s_suppkey % 9 = 0), true FROM region UNION ALL SELECT 'namespaces/Shop.md', 0, false""")
 def namespace_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, m = _structure(spark, sf_dir, "containsNamespace", "containsType", "typeKind", "accessibility", "arity", "isPartialType", subjects=("namespace", "type-declaration"), columns=["type_kind", "accessibility", "arity", "is_partial_type"])
+    found = _namespace_pages(t, m)
+    return found.select("relative_path", F.regexp_count("markdown", F.lit(r"\[\[types/")).cast("long").alias("types"), F.contains("markdown", F.lit("- Parent: [[")).alias("has_parent"))
+
+
+def _namespace_pages(t: DataFrame, m: DataFrame) -> DataFrame:
     spaces, types = model.namespaces(t, m), model.types(t, m)
     a = pages.plain_candidates(spaces.select("id", "path"), "namespaces", F.regexp_replace("path", r"\.", "/"))
     b = pages.plain_candidates(types.select("id", "path"), "types", F.regexp_replace("path", r"\.", "/"))
     paths = pages.unique_paths(a.unionByName(b), "id").select("id", "path")
-    found = render.namespace_pages(spaces, types, paths, F.lit("repo"))
-    return found.select("relative_path", F.regexp_count("markdown", F.lit(r"\[\[types/")).cast("long").alias("types"), F.contains("markdown", F.lit("- Parent: [[")).alias("has_parent"))
+    return render.namespace_pages(spaces, types, paths, F.lit("repo"))
 
 
 @query("""WITH f AS (SELECT c_custkey AS ck, n_regionkey AS rk, n_nationkey AS nk, CASE substr(c_mktsegment, 1, 1) WHEN 'A' THEN '.cs' WHEN 'B' THEN '.md' WHEN 'F' THEN '.json' WHEN 'H' THEN '.CSPROJ' ELSE '.txt' END AS ext FROM customer JOIN nation ON c_nationkey = n_nationkey)

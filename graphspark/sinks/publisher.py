@@ -6,6 +6,7 @@ Tables are computed by Spark; what is written to a local folder streams through
 from __future__ import annotations
 
 import json
+import re
 import shutil
 import uuid
 from collections.abc import Iterable
@@ -14,15 +15,20 @@ from datetime import datetime, timezone
 from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.publish import diagnostics_by_code, numbered_edges, numbered_nodes
+from ..operators.publish import branch_of, diagnostics_by_code, numbered_edges, numbered_nodes
+from ..schema import TRIPLES
 
 # The GraphML namespace and the three declared keys.
 NAMESPACE = "http://graphml.graphdrawing.org/xmlns"
 KEYS = (("d0", "node", "kind"), ("d1", "node", "label"), ("d2", "edge", "predicate"))
 
 
+_NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+
+
 @dataclass
 class Published:
     run_id: str
@@ -39,6 +45,11 @@ def run_id(now: datetime) -> str:
     return now.astimezone(timezone.utc).strftime("%Y%m%dT%H%M%S%f")[:-3] + "Z"
 
 
+def _text(value: str) -> str:
+    """Escaped text; characters that XML can't hold become U+FFFD."""
+    return escape(_NOT_XML.sub("\ufffd", value))
+
+
 def write_graphml(triples: DataFrame, target: Path) -> tuple[int, int]:
     """The graph as GraphML; returns the numbers of nodes and edges. Node ids are found by a join, not a dictionary."""
     nodes = numbered_nodes(triples)
@@ -49,12 +60,13 @@ def write_graphml(triples: DataFrame, target: Path) -> tuple[int, int]:
         f.write(f"<graphml xmlns={quoteattr(NAMESPACE)}>")
         f.writelines(f'<key id="{k}" for="{on}" attr.name="{name}" attr.type="string" />' for k, on, name in KEYS)
         f.write('<graph edgedefault="directed">')
-        for r in nodes.orderBy("node_id").toLocalIterator():
+        # Longer ids hold greater numbers.
+        for r in nodes.orderBy(F.length("node_id"), "node_id").toLocalIterator():
             counts[0] += 1
-            f.write(f'<node id="{r.node_id}"><data key="d0">{r.kind}</data><data key="d1">{escape(r.label)}</data></node>')
-        for r in edges.orderBy("edge_id").toLocalIterator():
+            f.write(f'<node id="{r.node_id}"><data key="d0">{r.kind}</data><data key="d1">{_text(r.label)}</data></node>')
+        for r in edges.orderBy(F.length("edge_id"), "edge_id").toLocalIterator():
             counts[1] += 1
-            f.write(f'<edge id="{r.edge_id}" source="{r.s}" target="{r.t}"><data key="d2">{escape(r.predicate)}</data></edge>')
+            f.write(f'<edge id="{r.edge_id}" source="{r.s}" target="{r.t}"><data key="d2">{_text(r.predicate)}</data></edge>')
         f.write("</graph></graphml>")
     return counts[0], counts[1]
 
@@ -98,8 +110,13 @@ def promote(run: Path, latest: Path) -> None:
     shutil.rmtree(backup, ignore_errors=True)
 
 
-def publish(triples: DataFrame, pages: DataFrame, diagnostics: DataFrame, output: Path, failed: bool = False, violations: Iterable[str] = (), branches: dict[str, str] | None = None, now: datetime | None = None) -> Published:
-    """Write a run's artefacts under output/runs/<id>; promote it to output/latest unless the run failed or links are broken."""
+def publish(triples: DataFrame, pages: DataFrame, diagnostics: DataFrame, output: Path, failed: bool = False, violations: Iterable[str] = (), branches: dict[str, str] | None = None, now: datetime | None = None, repository_id: str | None = None) -> Published:
+    """Write a run's artefacts under output/runs/<id>; promote it to output/latest unless the run failed or links are broken.
+
+    Branches that are not given are looked up in the triples of the repository.
+    """
+    if branches is None and repository_id is not None:
+        branches = {"head": branch_of(triples, repository_id, "headBranch"), "mainline": branch_of(triples, repository_id, "mainlineBranch")}
     began = now or datetime.now(timezone.utc)
     out = Published(run_id(began), True)
     folder = output / "runs" / out.run_id
@@ -124,6 +141,16 @@ def publish(triples: DataFrame, pages: DataFrame, diagnostics: DataFrame, output
     return out
 
 
+def publish_nothing(*_, **__) -> Published:
+    """A publisher that writes nothing and succeeds."""
+    return Published("", True)
+
+
+def no_run(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """A run that finds nothing: no triples and no diagnostics."""
+    return spark.createDataFrame([], TRIPLES), spark.createDataFrame([], "code string, message string")
+
+
 def report(violations: list[str], most: int = 20) -> str:
     """The first violations in order and how many more there are."""
     shown = sorted(violations)[: max(1, most)]

@@ -47,8 +47,9 @@ def _resolved(base: Column, relative: Column) -> Column:
 def solution_projects(files: DataFrame) -> DataFrame:
     """(solution_path, project_path) of .slnx files (projects directly under the root) and .sln files."""
     xml = files.filter(F.lower("path").endswith(".slnx"))
-    inner = F.expr("xpath(text, '/*/Project/@Path')")
-    a = xml.select(F.col("path").alias("solution_path"), F.explode(inner).alias("_r"))
+    # Malformed text gives nulls, as a row of its own; xpath would end the job.
+    listed = F.from_xml("text", "Project array<struct<_Path: string>>", {"mode": "PERMISSIVE"})["Project"]
+    a = xml.select(F.col("path").alias("solution_path"), F.explode(F.transform(listed, lambda x: x["_Path"])).alias("_r"))
     sln = files.filter(F.lower("path").endswith(".sln"))
     b = sln.select(F.col("path").alias("solution_path"), F.explode(F.regexp_extract_all("text", F.lit(r'Project\("\{[^}]*\}"\)\s*=\s*"[^"]*",\s*"([^"]*)"'), 1)).alias("_r"))
     every = a.union(b).filter(F.lower("_r").endswith(".csproj"))
@@ -63,17 +64,25 @@ def target_frameworks(single: Column, many: Column) -> Column:
 
 
 def _well_formed(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"(?s)^\s*(<\?xml.*?\?>)?\s*(<!--.*?-->\s*)*<Project\b.*(</Project>|/>)\s*$"), F.lit(False))
+    """Whether a text is one Project element that an XML parser reads to its end."""
+    shape = text.rlike(r"(?s)^\ufeff?\s*(<\?xml.*?\?>)?\s*(<!--.*?-->\s*)*<Project\b([^<>]*/>|.*</Project\s*>)\s*(<!--.*?-->\s*)*$")
+    parsed = F.from_xml(text, "_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return F.coalesce(shape & parsed["_bad"].isNull(), F.lit(False))
+
+
+def _unescaped(text: Column) -> Column:
+    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(mark))
+    return text
 
 
 def project_facts(projects: DataFrame) -> DataFrame:
     """(path, name, target_frameworks) of project files; text that is no project keeps its file name only."""
-    ok = _well_formed(F.col("text"))
-    clean = F.when(ok, F.regexp_replace("text", r'xmlns="[^"]*"', "")).otherwise(F.lit("<Project/>"))
+    clean = F.when(_well_formed(F.col("text")), F.regexp_replace("text", r"(?s)<!--.*?-->", "")).otherwise(F.lit(""))
     x = projects.select("path", clean.alias("_x"))
 
     def text_of(tag: str) -> Column:
-        return F.expr(f"trim(xpath_string(_x, '//{tag}'))")
+        return F.trim(_unescaped(F.regexp_extract("_x", rf"<{tag}(?:\s[^<>]*)?>([^<]*)</", 1)))
 
     name = F.when(text_of("AssemblyName") != "", text_of("AssemblyName")).otherwise(file_stem(F.col("path")))
     return x.select("path", name.alias("name"), target_frameworks(text_of("TargetFramework"), text_of("TargetFrameworks")).alias("target_frameworks"))

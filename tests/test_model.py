@@ -100,6 +100,46 @@ def test_publishing(spark, tmp_path):
     assert not publisher.publish(t, pages, diagnostics, tmp_path, failed=True).promoted
 
 
+def test_graphml_is_in_numeric_order_and_valid(spark, tmp_path, monkeypatch):
+    import xml.etree.ElementTree as ET
+
+    from graphspark.operators import publish
+
+    monkeypatch.setattr(publisher, "numbered_nodes", lambda t: publish.numbered_nodes(t).selectExpr("concat('n', 999990 + cast(substr(node_id, 2) as int)) AS node_id", "key", "kind", "label"))
+    rows = [(i, f"s{i}", "core:hasName", "L", None, f"a\x01<{i}\ufffe") for i in range(12)]
+    nodes, _ = publisher.write_graphml(spark.createDataFrame(rows, TRIPLES), tmp_path / "g.xml")
+    ids = [int(n.get("id")[1:]) for n in ET.parse(tmp_path / "g.xml").iter("{http://graphml.graphdrawing.org/xmlns}node")]
+    assert nodes == 24 and ids == list(range(999991, 1000015))
+
+
+def test_branches_and_empty_runs(spark, tmp_path):
+    t = spark.createDataFrame([(2, "r", "core:headBranch", "L", None, "late"), (1, "r", "core:headBranch", "L", None, "main"), (1, "r", "core:mainlineBranch", "L", None, " ")], TRIPLES)
+    none, diagnostics = publisher.no_run(spark)
+    assert none.count() == diagnostics.count() == 0 and publisher.publish_nothing(t, None).succeeded
+    publisher.publish(t, spark.createDataFrame([], "relative_path string, markdown string"), diagnostics, tmp_path, repository_id="r")
+    written = json.loads((tmp_path / "latest/manifest.json").read_text())
+    assert (written["headBranch"], written["mainlineBranch"]) == ("main", "unknown")
+
+
+def test_closure_meets_nodes_in_the_order_of_edges(spark):
+    from graphspark.operators.closure import base_types
+
+    edges = [("a", "z", 1), ("a", "b", 2), ("z", "y", 9), ("z", "c", 4), ("b", "x", 3), ("x", "a", 5), ("c", "t", 6), *[(f"n{i}", f"n{i + 1}", i) for i in range(12)]]
+    found = base_types(spark.createDataFrame(edges, "s string, o string, seq long"))
+    assert [r.o for r in found.filter("s = 'a'").orderBy("depth", "trail").collect()] == ["z", "b", "c", "y", "x", "t", "a"]
+    assert found.filter("s = 'n0'").count() == 12 and base_types(spark.createDataFrame([], "s string, o string")).count() == 0
+
+
+def test_unknown_methods_are_no_unknown_projects(spark):
+    from graphspark.operators import usage
+
+    uses = spark.createDataFrame([("m1", "A.B"), ("m2", "A.B"), ("m3", "A.B"), ("m1", "C")], "method_id string, reference string")
+    methods, of = spark.createDataFrame([("m1",), ("m2",)], "method_id string"), spark.createDataFrame([("m1", "p")], "method_id string, project_id string")
+    packages = spark.createDataFrame([("k", "A", "a")], "package_id string, name string, canonical_key string")
+    got = usage.attributions(uses, methods, of, spark.createDataFrame([("p", "k")], "project_id string, package_id string"), packages).collect()
+    assert {(r.method_id, r.reference): r.reason for r in got} == {("m1", "A.B"): "None", ("m2", "A.B"): "SourceProjectNotFound", ("m3", "A.B"): "SourceMethodNotFound", ("m1", "C"): "NoProjectScopedMatch"}
+
+
 def test_options(tmp_path):
     config = tmp_path / "c.json"
     config.write_text('{"path": "from-config", "max_merge_entries_per_file": 3, "other": 1}')

@@ -1,4 +1,7 @@
-from graphspark.sources import csharp, readers
+import os
+import subprocess
+
+from graphspark.sources import csharp, git, readers
 
 CODE = """
 using System; using Acme.Core;
@@ -89,3 +92,52 @@ def test_scan_files(spark, tmp_path):
     assert sorted(r.path for r in found.collect()) == ["B/z.cs", "a/obj/y.cs", "a/x.cs"]
     left = readers.without(found, spark.createDataFrame([("A/OBJ",)], "path string"))
     assert sorted(r.text for r in left.collect()) == ["B/z.cs", "a/x.cs"]
+
+
+def test_malformed_projects_keep_their_names(spark):
+    bad = ["<Project><unclosed></Project>", "<Project/><b/>", "<Project>&bad;</Project>", "<Project><A></B></Project>", "junk", "", None, "<Project><AssemblyName>x</AssemblyName>"]
+    good = ["\ufeff<?xml version='1.0'?>\n<!-- <AssemblyName>no</AssemblyName> --><Project><!-- <AssemblyName>no</AssemblyName> --><P><AssemblyName> A&amp;B </AssemblyName></P></Project>\n"]
+    files = spark.createDataFrame([(f"f{i}.csproj", x) for i, x in enumerate(bad + good)], "path string, text string")
+    assert [r.name for r in readers.project_facts(files).orderBy("path").collect()] == [f"f{i}" for i in range(len(bad))] + ["A&B"]
+    solutions = spark.createDataFrame([(f"s{i}.slnx", x) for i, x in enumerate(["<Solution><Project Path='a.csproj'/></Solution>", "<Solution><Project", "", None, "<Solution/>"])], "path string, text string")
+    assert [r.project_path for r in readers.solution_projects(solutions).collect()] == ["a.csproj"]
+
+
+def test_git_history(spark, tmp_path):
+    """Author dates, renames, merges with their branch's commits, texts at HEAD and in the working tree."""
+    when = iter(range(10, 60))
+
+    def run(*args):
+        at = next(when)
+        dates = {"GIT_AUTHOR_DATE": f"2024-01-01T{at % 24:02d}:00:00+02:00", "GIT_COMMITTER_DATE": f"2025-06-01T{at % 24:02d}:00:00Z"}
+        names = {"GIT_AUTHOR_NAME": "Ann", "GIT_AUTHOR_EMAIL": "a@x", "GIT_COMMITTER_NAME": "Bob", "GIT_COMMITTER_EMAIL": "b@x", "GIT_CONFIG_GLOBAL": "/dev/null"}
+        return subprocess.run(["git", "-C", str(tmp_path), *args], check=True, capture_output=True, text=True, env=os.environ | dates | names).stdout
+
+    def commit(name, text):
+        (tmp_path / name).write_text(text)
+        run("add", "-A")
+        run("commit", "-qm", name)
+
+    run("init", "-q", "-b", "main")
+    commit("old.cs", "class A {}\n" * 9)
+    run("mv", "old.cs", "new é.cs")
+    run("commit", "-qm", "renamed")
+    run("checkout", "-qb", "side")
+    commit("new é.cs", "class A {}\n" * 9 + "// one\n")
+    commit("new é.cs", "class A {}\n" * 9 + "// two\n")
+    run("checkout", "-q", "main")
+    commit("other.txt", "x")
+    run("merge", "-q", "--no-ff", "-m", "merged", "side")
+    (tmp_path / "loose.txt").write_bytes(b"a\xff")
+    repository, path = str(tmp_path), "new é.cs"
+    assert git.tracked_paths(repository) == [path, "other.txt"] and git.mainline_branch(repository) == git.head_branch(repository) == "main" and git.is_dirty(repository)
+    found = git.history(spark, repository, [path]).orderBy("ord").collect()
+    assert len(found) == 4 and all(r.ts_utc.startswith("2024-01-01T") and r.author_name == "Ann" for r in found)
+    merges = git.mainline_merges(spark, repository, [path, "other.txt"], "main")
+    (merge,) = merges.collect()
+    assert merge.path == path and len(merge.parents) == 2
+    commits = git.branch_commits(spark, repository, [(merge.path, merge.sha, merge.parents), ("x", "y", ["no", "such"])])
+    assert [r.source_commit_count for r in readers.source_branch_commits(commits, merges).collect()] == [2]
+    texts = {r.path: r.text for r in git.head_texts(spark, repository, [path, "loose.txt", "none.txt", "other.txt"]).collect()}
+    assert texts == {path: "class A {}\n" * 9 + "// two\n", "loose.txt": "a\ufffd", "other.txt": "x"}
+    assert git.tracked_paths(f"{repository}/none") == [] and git.history(spark, f"{repository}/none", ["a"]).count() == 0
