@@ -29,3 +29,18 @@ def options(argv: list[str]) -> dict:
     given = vars(parser.parse_args(argv))
     own = {k: v for k, v in given.items() if k in DEFAULTS and v is not None}
     return DEFAULTS | load_config(given["config"]) | own
+
+
+def main(argv: list[str]) -> int:
+    """Runs the verb in a Spark session and returns its exit code."""
+    from pyspark.sql import SparkSession
+
+    from .ingest import ingest
+
+    return ingest(SparkSession.builder.appName("graphspark").getOrCreate(), options(argv)).exit_code
+
+
+if __name__ == "__main__":
+    import sys
+
+    sys.exit(main(sys.argv[1:]))

@@ -38,6 +38,7 @@ class Published:
     edges: int = 0
     promoted: bool = False
     reason: str = ""
+    exit_code: int = 0
     diagnostics: dict[str, int] = field(default_factory=dict)
 
 
