@@ -141,9 +141,10 @@ def _declarations(found: DataFrame, projects: DataFrame, facts: Facts) -> DataFr
         emit.literal("isPartialType", F.when(F.col("partial"), "true")),
     )
     facts.add(types.select("id", F.explode("generics").alias("g")), F.col("id"), emit.literal("genericParameter", F.col("g")), key=F.concat_ws(":", "id", "g"))
+    facts.add(parts.join(by_name_of(types), "qualified_name").select("type_id", F.explode("constraints").alias("c")).distinct(), F.col("type_id"), emit.literal("genericConstraint", F.col("c")), key=F.concat_ws(":", "type_id", "c"))
     space = ids.stable_id("namespace", ids.namespace_key(F.col("namespace")))
     facts.add(types.filter("namespace <> '<global>'"), space, emit.edge("containsType", F.col("id")), key=F.col("qualified_name"))
-    by_name = types.select("qualified_name", F.col("id").alias("type_id"), F.col("assembly_name").alias("assembly"))
+    by_name = by_name_of(types)
     _declared_in(facts, parts.select("qualified_name", "path", "line", "column").join(by_name.withColumnRenamed("type_id", "id"), "qualified_name"), "Type")
     facts.add_edges(resolve.declaring_type_links(types.select(F.col("id").alias("type_id"), "qualified_name", F.col("declaring_type").alias("declaring_name"))))
 
@@ -161,6 +162,10 @@ def _declarations(found: DataFrame, projects: DataFrame, facts: Facts) -> DataFr
     return resolve.fallback_diagnostics(linked).unionByName(lost)
 
 
+def by_name_of(types: DataFrame) -> DataFrame:
+    return types.select("qualified_name", F.col("id").alias("type_id"), F.col("assembly_name").alias("assembly"))
+
+
 def _declared_in(facts: Facts, rows: DataFrame, of: str) -> None:
     """Source locations of entities (id, path, line, column) and the files that declare them."""
     place, edge = _place(of)
@@ -198,7 +203,7 @@ def _methods(facts: Facts, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     facts.add(methods, F.col("type_id"), emit.edge("containsMethod", F.col("id")), key=F.concat_ws(":", "type_id", "id"))
     _declared_in(facts, keyed, "Method")
-    spread = methods.select("method_id", "type_id", "namespace", "path", "imports", "is_extension", F.posexplode(F.arrays_zip("parameters", "parameter_names")).alias("n", "x")).select("*", F.col("x.parameters").alias("type_text"), F.col("x.parameter_names").alias("name"))
+    spread = methods.select("method_id", "type_id", "namespace", "path", "imports", "aliases", "is_extension", F.posexplode(F.arrays_zip("parameters", "parameter_names")).alias("n", "x")).select("*", F.col("x.parameters").alias("type_text"), F.col("x.parameter_names").alias("name"))
     parameters = stored(spread.withColumn("id", ids.stable_id("method-parameter", ids.parameter_key(F.col("method_id"), F.col("n"), F.col("name")))), "run-parameters")
     _entities(facts, parameters, "method-parameter", "id", "name", "name", emit.literal("parameterOrdinal", F.col("n")), emit.literal("parameterName", F.col("name")), emit.literal("hasDeclaredTypeText", F.col("type_text")))
     facts.add(parameters, F.col("method_id"), emit.edge("hasMethodParameter", F.col("id")), key=F.concat_ws(":", "method_id", "id"))
@@ -207,7 +212,7 @@ def _methods(facts: Facts, found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _links(facts: Facts, parts: DataFrame, members: DataFrame, methods: DataFrame, parameters: DataFrame, types: DataFrame) -> DataFrame:
     """Resolves every reference to a type, and adds the edges and the stubs; returns (role, source_id, outcome, target_id, ...)."""
-    based = parts.filter("kind <> 'enum'").select("type_id", "namespace", "imports", "kind", F.posexplode("bases").alias("n", "reference"), F.col("bases"))
+    based = parts.filter("kind <> 'enum'").select("type_id", "namespace", "imports", "aliases", "kind", F.posexplode("bases").alias("n", "reference"), F.col("bases"))
     head = F.get(F.filter("bases", lambda b: ~looks_like_interface(b)), F.lit(0))
     role = F.when(F.col("kind") == "interface", "inherits").when((F.col("kind") != "struct") & (F.col("reference") == head), "inherits").otherwise("implements")
     none = F.lit(None).cast("string")
@@ -215,14 +220,18 @@ def _links(facts: Facts, parts: DataFrame, members: DataFrame, methods: DataFram
     spaces = types.select(F.col("id").alias("type_id"), F.col("namespace").alias("_space"))
 
     def of(rows: DataFrame, role_: str, source: str, method: Column) -> DataFrame:
-        return rows.join(spaces, "type_id").select(F.lit(role_).alias("role"), F.col(source).alias("source_id"), method.alias("method_id"), F.col("type_text").alias("reference"), F.col("_space").alias("namespace"), "imports")
+        return rows.join(spaces, "type_id").select(F.lit(role_).alias("role"), F.col(source).alias("source_id"), method.alias("method_id"), F.col("type_text").alias("reference"), F.col("_space").alias("namespace"), "imports", "aliases")
 
     wanted = [
-        based.select(role.alias("role"), F.col("type_id").alias("source_id"), none.alias("method_id"), "reference", "namespace", "imports"), of(members, "member", "id", none),
+        based.select(role.alias("role"), F.col("type_id").alias("source_id"), none.alias("method_id"), "reference", "namespace", "imports", "aliases"), of(members, "member", "id", none),
         of(methods, "return", "method_id", F.col("method_id")), of(parameters, "parameter", "id", F.col("method_id")), of(parameters.filter("is_extension AND n = 0"), "extends", "method_id", F.col("method_id")),
     ]
-    every = reduce(DataFrame.unionByName, wanted).filter("trim(coalesce(reference, '')) <> ''").groupBy("role", "source_id", "method_id", "reference", "namespace").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("imports")))).alias("imports"))
-    asked = every.withColumn("ref_id", F.sha2(F.concat_ws("|", "role", "source_id", "namespace", "reference"), 256)).withColumn("aliases", F.create_map().cast("map<string,string>"))
+    # Parts of a type in several files see the imports and aliases of all of them; of an alias given twice the greatest name holds.
+    every = reduce(DataFrame.unionByName, wanted).filter("trim(coalesce(reference, '')) <> ''").groupBy("role", "source_id", "method_id", "reference", "namespace").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("imports")))).alias("imports"), F.array_sort(F.flatten(F.collect_list(F.map_entries("aliases")))).alias("pairs")
+    )
+    aliases = F.map_from_entries(F.filter("pairs", lambda x, i: F.coalesce(F.get("pairs", i + 1)["key"] != x["key"], F.lit(True))))
+    asked = every.withColumn("ref_id", F.sha2(F.concat_ws("|", "role", "source_id", "namespace", "reference"), 256)).withColumn("aliases", aliases).drop("pairs")
     linked = stored(resolve.link_outcome(resolve.resolve_names(asked, types.select("qualified_name", F.col("id").alias("type_id")))), "run-links")
     as_source = linked.withColumn("ref_id", F.col("source_id"))
     for p in ("inherits", "implements"):

@@ -28,7 +28,7 @@ _ATTRIBUTE = re.compile(r"^\s*(?:\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]\s*)+")
 
 SCHEMA = (
     "path string, fact string, namespace string, declaring_type string, name string, kind string, accessibility string, is_partial boolean, arity int, generics array<string>, "
-    "bases array<string>, type_text string, constant string, parameters array<string>, parameter_names array<string>, is_override boolean, is_extension boolean, imports array<string>, line int, column int"
+    "bases array<string>, type_text string, constant string, parameters array<string>, parameter_names array<string>, is_override boolean, is_extension boolean, imports array<string>, aliases map<string, string>, constraints array<string>, line int, column int"
 )
 
 
@@ -68,6 +68,12 @@ def _parameters(text: str) -> tuple[list[str], list[str], bool]:
     return types, names, this
 
 
+def constraints(head: str) -> list[str]:
+    """T:c1&c2 for each where clause of a type's head, all sorted."""
+    found = re.finditer(r"\bwhere\s+(\w+)\s*:\s*(.*?)(?=\bwhere\b|[{;]|$)", head, re.S)
+    return sorted(f"{m[1]}:{'&'.join(sorted(re.sub(r'\s', '', c) for c in _split(m[2])))}" for m in found)
+
+
 def _close(text: str, at: int) -> int:
     """The place after the brace that closes the one at `at`."""
     depth = 0
@@ -82,12 +88,13 @@ class Scanner:
     def __init__(self, path: str, text: str):
         self.path, self.raw, self.text, self.rows = path, text, blank(text), []
         self.imports = sorted({m["name"].strip() for m in _USING.finditer(self.text) if not m["alias"]})
+        self.aliases = {m["alias"]: re.sub(r"\s", "", m["name"]) for m in _USING.finditer(self.text) if m["alias"]}
 
     def add(self, fact: str, at: int, **values) -> None:
         line = self.text.count("\n", 0, at) + 1
         column = at - (self.text.rfind("\n", 0, at) + 1) + 1
-        blank_row = dict.fromkeys(("namespace", "declaring_type", "name", "kind", "accessibility", "type_text", "constant"), None) | {"is_partial": False, "arity": 0, "generics": [], "bases": [], "parameters": [], "parameter_names": [], "is_override": False, "is_extension": False}
-        self.rows.append({"path": self.path, "fact": fact, **blank_row, **values, "imports": self.imports, "line": line, "column": column})
+        blank_row = dict.fromkeys(("namespace", "declaring_type", "name", "kind", "accessibility", "type_text", "constant"), None) | {"is_partial": False, "arity": 0, "generics": [], "bases": [], "parameters": [], "parameter_names": [], "is_override": False, "is_extension": False, "constraints": []}
+        self.rows.append({"path": self.path, "fact": fact, **blank_row, **values, "imports": self.imports, "aliases": self.aliases, "line": line, "column": column})
 
     def scan(self) -> list[dict]:
         self.walk(0, len(self.text), "", None)
@@ -119,7 +126,7 @@ class Scanner:
         kind, own = m["kind"].split()[0], m["name"] + (f"`{len(generics)}" if generics else "")
         full = f"{declaring}.{own}" if declaring else f"{namespace}.{own}" if namespace else own
         bases = [re.sub(r"\s", "", re.sub(r"\(.*", "", b, flags=re.S)).replace("global::", "").split("<")[0] for b in _split((m["bases"] or ":")[1:])]
-        self.add("type", m.start("name"), namespace=namespace or "<global>", declaring_type=declaring, name=m["name"], kind=kind, accessibility=accessibility(m["mods"]), is_partial="partial" in m["mods"].split(), arity=len(generics), generics=generics, bases=bases)
+        self.add("type", m.start("name"), namespace=namespace or "<global>", declaring_type=declaring, name=m["name"], kind=kind, accessibility=accessibility(m["mods"]), is_partial="partial" in m["mods"].split(), arity=len(generics), generics=generics, bases=bases, constraints=constraints(self.text[m.start() : m.end()]))
         if kind == "record" and m["params"]:
             types, names, _ = _parameters(m["params"][1:-1])
             for t, n in zip(types, names):
@@ -219,7 +226,7 @@ def declarations(files: DataFrame) -> DataFrame:
         schema = pa.schema([
             ("path", pa.string()), ("fact", pa.string()), ("namespace", pa.string()), ("declaring_type", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("accessibility", pa.string()), ("is_partial", pa.bool_()),
             ("arity", pa.int32()), ("generics", pa.list_(pa.string())), ("bases", pa.list_(pa.string())), ("type_text", pa.string()), ("constant", pa.string()), ("parameters", pa.list_(pa.string())),
-            ("parameter_names", pa.list_(pa.string())), ("is_override", pa.bool_()), ("is_extension", pa.bool_()), ("imports", pa.list_(pa.string())), ("line", pa.int32()), ("column", pa.int32()),
+            ("parameter_names", pa.list_(pa.string())), ("is_override", pa.bool_()), ("is_extension", pa.bool_()), ("imports", pa.list_(pa.string())), ("aliases", pa.map_(pa.string(), pa.string())), ("constraints", pa.list_(pa.string())), ("line", pa.int32()), ("column", pa.int32()),
         ])
         for batch in batches:
             for path, text in zip(batch.column(0), batch.column(1)):

@@ -14,7 +14,7 @@ FILES = {
     "App.sln": 'Project("{FAE04EC0}") = "Shop", "src\\Shop\\Shop.csproj", "{1}"\nEndProject\n',
     "src/Shop/Shop.csproj": '<Project Sdk="x"><PropertyGroup><TargetFramework>net8.0</TargetFramework></PropertyGroup><ItemGroup><PackageReference Include="Serilog" Version="3.1.0" /></ItemGroup></Project>',
     "src/Shop/Base.cs": "namespace Shop;\npublic interface IRun { void Run(int n); }\npublic class Base { public virtual void Go() { } public enum Mode { A, B = 4, C } }\n",
-    "src/Shop/Cart.cs": "using System;\nnamespace Shop.Orders\n{\n    public partial class Cart : Base, IRun, IDisposable\n    {\n        private Serilog.ILogger log;\n        public int Total { get; set; }\n        public Cart(int n) { }\n        public override void Go() { }\n        public void Run(int n) { }\n        public Serilog.Core.Logger Make(string[] names) { return null; }\n    }\n}\n",
+    "src/Shop/Cart.cs": "using System;\nusing S = Shop;\nnamespace Shop.Orders\n{\n    public partial class Cart : S.Base, IRun, IDisposable\n    {\n        private Serilog.ILogger log;\n        public int Total { get; set; }\n        public Cart(int n) { }\n        public override void Go() { }\n        public void Run(int n) { }\n        public Serilog.Core.Logger Make(string[] names) { return null; }\n    }\n}\n",
     "README.md": "# Shop\n",
 }
 

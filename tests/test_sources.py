@@ -141,3 +141,10 @@ def test_git_history(spark, tmp_path):
     texts = {r.path: r.text for r in git.head_texts(spark, repository, [path, "loose.txt", "none.txt", "other.txt"]).collect()}
     assert texts == {path: "class A {}\n" * 9 + "// two\n", "loose.txt": "a\ufffd", "other.txt": "x"}
     assert git.tracked_paths(f"{repository}/none") == [] and git.history(spark, f"{repository}/none", ["a"]).count() == 0
+
+
+def test_aliases_and_constraints(spark):
+    code = "using Log = Serilog.Core;\nusing System;\nusing static System.Math;\nnamespace A;\npublic class Box<T, U> : Base<T>, IBox where T : IThing, class where U : new() { }\npublic class Plain { }\n"
+    rows = {r.name: r for r in csharp.declarations(spark.createDataFrame([("a.cs", code)], "path string, text string")).collect()}
+    assert rows["Box"].aliases == {"Log": "Serilog.Core"} and rows["Box"].imports == ["System"]
+    assert rows["Box"].constraints == ["T:IThing&class", "U:new()"] and rows["Box"].bases == ["Base", "IBox"] and rows["Plain"].constraints == []
