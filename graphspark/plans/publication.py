@@ -11,19 +11,18 @@ from ..sources import readers
 from . import fixture
 from .registry import graph, query
 
-_SUBJECTS = ("repository", "solution", "project", "package", "submodule", "namespace")
-_NODES = f"""WITH {fixture.triples_sql(subjects=_SUBJECTS)}, keyed AS (SELECT seq, 'entity:' || s AS source, p AS predicate, CASE WHEN o_kind = 'E' THEN 'entity:' || o_id ELSE 'literal:' || upper(sha256(coalesce(o_value, ''))) END AS target, o_kind, o_id, o_value, s FROM triples)"""
+_NODES = f"""WITH {fixture.triples_sql()}, keyed AS (SELECT seq, 'entity:' || s AS source, p AS predicate, CASE WHEN o_kind = 'E' THEN 'entity:' || o_id ELSE 'literal:' || upper(sha256(coalesce(o_value, ''))) END AS target, o_kind, o_id, o_value, s FROM triples)"""
 
 
 @query(_NODES + """, nodes AS (SELECT source AS key, 'entity' AS kind, s AS label FROM keyed UNION SELECT target, CASE o_kind WHEN 'E' THEN 'entity' ELSE 'literal' END, coalesce(o_id, o_value) FROM keyed)
-SELECT 'n' || lpad((row_number() OVER (ORDER BY key))::VARCHAR, 6, '0') AS node_id, key, kind, label FROM nodes""")
+SELECT printf('n%06d', row_number() OVER (ORDER BY key)) AS node_id, key, kind, label FROM nodes""")
 def graphml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return publish.numbered_nodes(graph(spark, sf_dir, subjects=_SUBJECTS))
+    return publish.numbered_nodes(graph(spark, sf_dir))
 
 
-@query(_NODES + " SELECT 'e' || lpad((row_number() OVER (ORDER BY source, predicate, target, seq))::VARCHAR, 6, '0') AS edge_id, source, predicate, target, seq FROM keyed")
+@query(_NODES + " SELECT printf('e%06d', row_number() OVER (ORDER BY source, predicate, target, seq)) AS edge_id, source, predicate, target, seq FROM keyed")
 def graphml_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return publish.numbered_edges(graph(spark, sf_dir, subjects=_SUBJECTS))
+    return publish.numbered_edges(graph(spark, sf_dir))
 
 
 @query("SELECT 'diag:' || event_type AS code, count(*) AS count FROM events GROUP BY 1")

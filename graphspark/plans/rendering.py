@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import model, pages, publish, render
+from . import fixture
 from .registry import query
 from .structure import _structure
 
@@ -34,15 +37,36 @@ def pages_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.ranked(every.select("relative_path"), ["relative_path"], "n").select(F.col("n").cast("long").alias("n"), "relative_path")
 
 
-@query("""SELECT 0 AS section_no, 'Solutions' AS section, r_name AS name, '| ' || r_name || ' | r' || r_regionkey || '.sln | `solution:' || sha256('solution:r' || r_regionkey || '.sln') || '` | [[solutions/' || replace(r_name, ' ', '-') || '|' || r_name || ']] |' AS row FROM region
-UNION ALL SELECT 1, 'Namespaces', 'Shop.R' || r_regionkey, '| Shop.R' || r_regionkey || ' | Shop.R' || r_regionkey || ' | `namespace:' || sha256('namespace:Shop.R' || r_regionkey) || '` | [[namespaces/Shop/R' || r_regionkey || '|Shop.R' || r_regionkey || ']] |' FROM region""")
+def _index_sql() -> str:
+    """The index's rows of every kind of entity: section, kind of entity, source view, key, name, path and page without its ending."""
+    f, types, methods = fixture, f"{fixture.TYPE}", fixture.METHOD
+    kinds = [
+        ("Repositories", "repository", "v_repo", f.REPO, f.REPO, f.REPO, "'repositories/tpch'"), ("Solutions", "solution", "v_region", f.SOLUTION, "nm", f.SOLUTION, "'solutions/' || replace(nm, ' ', '-')"),
+        ("Projects", "project", "(SELECT rk, nk, nm FROM v_nation)", f.PROJECT, "nm", f.PROJECT, "'projects/' || replace(nm, ' ', '-')"), ("Projects", "project", "v_region", f.REGION_PROJECT, "'root-' || nm", f.REGION_PROJECT, "'projects/root-' || replace(nm, ' ', '-')"),
+        ("Packages", "package", "v_package", "lower(nm)", "nm", "lower(nm)", "'packages/' || replace(nm, '#', '-')"),
+        ("Namespaces", "namespace", "v_repo", f.SPACE0, f.SPACE0, f.SPACE0, "'namespaces/Shop'"), ("Namespaces", "namespace", "v_region", f.SPACE1, f.SPACE1, f.SPACE1, "'namespaces/Shop/R' || rk"), ("Namespaces", "namespace", "v_nation", f.SPACE2, f.SPACE2, f.SPACE2, "'namespaces/Shop/R' || rk || '/N' || nk"),
+        ("Types", "type-declaration", "v_supplier", types, "'S' || sk", types, "'types/Shop/R' || rk || '/N' || nk || '/S' || sk"),
+        ("Methods", "method-declaration", "v_order", methods, "'M' || ok", types + " || '.M' || ok || '(int)'", "'methods/Shop/R' || rk || '/N' || nk || '/S' || sk || '/M' || ok"),
+        ("Files", "file", "v_customer", f.CUSTOMER_FILE, "'c' || ck || ext", f.CUSTOMER_FILE, f"'files/' || {f.CUSTOMER_FILE}"), ("Files", "file", "v_supplier", f.SUPPLIER_FILE, "'s' || sk || '.cs'", f.SUPPLIER_FILE, f"'files/' || {f.SUPPLIER_FILE}"),
+    ]
+    numbers = {title: i for i, title in enumerate(dict.fromkeys(k[0] for k in kinds))}
+    rows = [
+        f"SELECT {numbers[title]} AS section_no, '{title}' AS section, {name} AS name, '| ' || {name} || ' | ' || {path} || ' | `{kind}:' || sha256('{kind}:' || {key}) || '` | [[' || {page} || '|' || {name} || ']] |' AS row FROM {view}"
+        for title, kind, view, key, name, path, page in kinds
+    ]
+    return "WITH " + ", ".join(f"{n} AS ({q})" for n, q in fixture.VIEWS.items()) + " " + " UNION ALL ".join(rows)
+
+
+@query(_index_sql())
 def index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, m = _structure(spark, sf_dir, "contains", subjects=("repository", "solution", "project", "namespace"))
-    solutions = model.solutions(t, m)
-    spaces = model.of_type(m, "namespace").filter("name rlike '^Shop[.]R[0-9]+$'").select("id", "name", "path")
-    candidates = pages.plain_candidates(spaces, "namespaces", F.regexp_replace("path", r"\.", "/"))
-    paths = _paths(solutions, "solutions").unionByName(pages.unique_paths(candidates, "name").select("id", "path"))
-    return render.index_rows({"Solutions": solutions, "Namespaces": spaces}, paths).select("section_no", "section", "name", "row")
+    kinds = {"Repositories": "repository", "Solutions": "solution", "Projects": "project", "Packages": "package", "Namespaces": "namespace", "Types": "type-declaration", "Methods": "method-declaration", "Files": "file"}
+    _, m = _structure(spark, sf_dir, subjects=tuple(kinds.values()))
+    tables = {title: model.of_type(m, kind).select("id", "name", "path") for title, kind in kinds.items()}
+    dotted = F.regexp_replace("path", r"\.", "/")
+    own = {"Namespaces": dotted, "Types": dotted, "Methods": F.regexp_replace(F.substring_index("path", "(", 1), r"\.", "/"), "Files": F.col("path")}
+    candidates = [pages.plain_candidates(t, k.lower(), own[k]) if k in own else pages.named_candidates(t, k.lower(), "name", "path") for k, t in tables.items()]
+    paths = pages.unique_paths(reduce(DataFrame.unionByName, [c.select("id", "path", "candidate", "fallback") for c in candidates]), "path").select("id", "path")
+    return render.index_rows(tables, paths).select("section_no", "section", "name", "row")
 
 
 @query("""SELECT 'namespaces/Shop/R' || rk || '/N' || nk || '.md' AS relative_path, (SELECT count(*) FROM supplier WHERE s_nationkey = nk) AS types, true AS has_parent FROM (SELECT n_regionkey AS rk, n_nationkey AS nk FROM nation)
