@@ -316,7 +316,7 @@ class _Usage:
         packages = tables["packages"].select(F.col("id").alias("package_id"), "name", "canonical_key")
         placed = model.declaration_files(t, "declaresMethod").select(F.col("id").alias("method_id"), "file_id")
         projects = tables["projects"].select(F.col("id").alias("project_id"), F.col("path").alias("project_path"), F.col("name").alias("project_name"))
-        of = joins.source_project(placed, tables["files"].select(F.col("id").alias("file_id"), "path"), projects)
+        of = stored(joins.source_project(placed, tables["files"].select(F.col("id").alias("file_id"), "path"), projects), "run-project-of")
         kinds = ["dependsOnTypeDeclaration", "dependsOnTypeInMethodBody"]
         counted = stored(usage.counted_uses(t, kinds, methods, m), "run-uses")
         held = model.memberships(t, m).select("project_id", "package_id").distinct()

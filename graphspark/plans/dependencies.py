@@ -73,7 +73,7 @@ class Inputs:
         return stored(found.select(F.col("method_id").cast("long").alias("method_id"), "reference", "entity_type", rf, "resolution_reason", "uses"), "uses")
 
     def attributed(self, methods: DataFrame | None = None) -> DataFrame:
-        return stored(usage.attributions(self.uses(), self.methods if methods is None else methods, self.project_of(), self.memberships, self.packages), "attributed")
+        return stored(usage.attributions(self.uses(), self.methods if methods is None else methods, stored(self.project_of(), "project-of"), self.memberships, self.packages), "attributed")
 
     def flat(self, attributed: DataFrame) -> DataFrame:
         return usage.usage_flat(attributed, self.methods, self.types, self.namespaces)
