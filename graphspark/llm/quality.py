@@ -107,11 +107,11 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def loss(w: np.ndarray, z: np.ndarray, better: np.ndarray, worse: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
     """Mean logistic loss of the preferred side winning, and its gradient."""
-    worth = z @ w
+    worth = z @ w.astype(z.dtype)  # a product of mixed kinds would copy z
     lead = worth[better] - worth[worse]
     lost = 1 / (1 + np.exp(np.clip(lead, -30, 30)))
     pull = np.bincount(worse, lost, len(z)) - np.bincount(better, lost, len(z))
-    return float(np.logaddexp(0, -lead).mean() + ridge / 2 * w @ w), z.T @ (pull / len(better)).astype(z.dtype) + ridge * w
+    return float(np.logaddexp(0, -lead).mean() + ridge / 2 * w @ w), (pull / len(better)).astype(z.dtype) @ z + ridge * w
 
 
 def fit(z: np.ndarray, better: np.ndarray, worse: np.ndarray, ridge: float) -> np.ndarray:
@@ -139,6 +139,7 @@ class BradleyTerry:
     """worth(x) = w . (x - mean) / scale; score = logistic(slope * (worth - cut) + logit(THRESHOLD))."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, seed: int = 7):
+        """x is standardised in place, which spares the driver a copy."""
         self.constant = None
         good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         if not len(good) or not len(bad):
@@ -149,9 +150,12 @@ class BradleyTerry:
         aside = np.concatenate([draw.permutation(g)[: math.ceil(len(g) * CUT_SHARE)] for g in (good, bad)])
         taught = np.setdiff1d(np.arange(len(y)), aside)
         pairs = [draw.choice(own if len(own := np.intersect1d(g, taught)) else g, PAIRS) for g in (good, bad)]
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + np.float32(1e-3)
-        self.w = fit((x - self.mean) / self.scale, *pairs, ridge)
-        worth = self.worth(x)
+        self.mean = x.mean(axis=0)
+        x -= self.mean
+        self.scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + np.float32(1e-3)
+        x /= self.scale
+        self.w = fit(x, *pairs, ridge)
+        worth = x @ self.w.astype(x.dtype)
         judged = np.sort(worth[aside])
         at = int((y[aside] == 0).sum())
         self.cut = float((judged[at - 1] + judged[at]) / 2)
@@ -175,8 +179,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     one = found.groupBy("_id", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("t")).select("t.t", "y")
     rows = one.mapInArrow(_featured, "x binary, y int").collect()
     rows.sort(key=lambda r: (r.y, bytes(r.x)))  # the tasks' order must not matter
-    x = [np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.x)), np.float32) for r in rows]
-    return BradleyTerry(np.array(x).reshape(-1, FEATURES), np.array([r.y for r in rows]))
+    x = np.empty((len(rows), FEATURES), np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(r.x)), np.float32)
+    return BradleyTerry(x, np.array([r.y for r in rows]))
 
 
 def _scored(model: BradleyTerry, texts: pa.Array, step: int = 512) -> np.ndarray:
