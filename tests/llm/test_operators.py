@@ -221,7 +221,7 @@ def test_maxscore_of_large_components(spark):
     for scale in (1.0, 3.0, 2.0**45, 2.0**1000):
         table = spark.createDataFrame([(0, [2e5, 1.0]), (1, [2e5, 0.0]), (2, [4e5 * scale, 0.0]), (3, [1.4e5, 0.0])], "vec_id long, embedding array<double>")
         got = maxscore.search(table, F.col("vec_id") == 0).orderBy("rank").collect()
-        want = [(2, min((1 << 63) - 1, int(5242880000000000 * scale))), (1, 2621440000000000), (3, 1835008000000000)]
+        want = [(2, min((1 << 63) - 1, 5242880000000000 * int(scale))), (1, 2621440000000000), (3, 1835008000000000)]
         assert [(r.vec_id, r.score) for r in got] == want
 
 
