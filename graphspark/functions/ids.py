@@ -12,6 +12,11 @@ def stable_id(entity_type: Column | str, natural_key: Column) -> Column:
     return F.concat(t, F.lit(":"), F.sha2(F.concat(t, F.lit(":"), natural_key).cast("binary"), 256))
 
 
+def hashed(plain: Column) -> Column:
+    """The stable id of a `type:key` text."""
+    return F.concat(F.substring_index(plain, ":", 1), F.lit(":"), F.sha2(plain.cast("binary"), 256))
+
+
 def literal_id(value: Column) -> Column:
     """The key of a literal node: literals of equal text are one node."""
     return F.concat(F.lit("literal:"), F.upper(F.sha2(value.cast("binary"), 256)))

@@ -35,8 +35,7 @@ def triples_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {fixture.triples_sql()} SELECT p, count(*) AS triples, count(DISTINCT s) AS subjects, count(DISTINCT coalesce(o_id, o_value)) AS objects, max(seq) AS last_seq FROM triples GROUP BY p")
 def triples_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = graph(spark, sf_dir)
-    return t.groupBy("p").agg(F.count(F.lit(1)).alias("triples"), F.countDistinct("s").alias("subjects"), F.countDistinct(F.coalesce("o_id", "o_value")).alias("objects"), F.max("seq").alias("last_seq"))
+    return E.predicate_counts(fixture.plain(spark, sf_dir), list(dict.fromkeys(f"core:{f.p}" for f in fixture.FACTS)))
 
 
 _REPO_META = {"head_branch": "headBranch", "mainline_branch": "mainlineBranch", "edits": "editCount", "member": "isSolutionMember"}

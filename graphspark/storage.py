@@ -22,5 +22,5 @@ def stored(df: DataFrame, label: str, *by: str) -> DataFrame:
             _LOCAL.append(Path(tempfile.mkdtemp(prefix="graphspark-")).as_uri())
         base = _LOCAL[0]
     path = f"{base.rstrip('/')}/graphspark-steps/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -146,3 +146,42 @@ def test_options(tmp_path):
     got = cli.options(["ingest", "-c", str(config), "-m", "2"])
     assert (got["path"], got["max_merge_entries_per_file"], got["output"]) == ("from-config", 2, "artifacts")
     assert cli.options(["ingest", "-c", "missing.json"])["path"] == "."
+
+
+def test_predicate_counts_tell_ids_from_literals_and_nulls(spark):
+    """Counted against plain distinct counts, over more predicates than a word has bits."""
+    from graphspark.operators.edges import predicate_counts
+    from graphspark.schema import PREDICATES, TRIPLES
+
+    rows = [(i, f"t:{i % 3}", PREDICATES[i % len(PREDICATES)], "E" if i % 2 else "L", f"t:{i % 5}" if i % 2 else None, None if i % 2 or i % 7 == 0 else f"t:{i % 5}") for i in range(400)]
+    rows += [(900, "t:0", PREDICATES[0], "L", None, "t:1"), (901, "t:0", PREDICATES[0], "E", "t:1", None)]
+    want = {}
+    for seq, s, p, kind, o, v in rows:
+        n, ss, oo, last = want.get(p, (0, set(), set(), 0))
+        want[p] = (n + 1, ss | {s}, oo | ({(kind, o or v)} if (o or v) is not None else set()), max(last, seq))
+    got = {r.p: (r.triples, r.subjects, r.objects, r.last_seq) for r in predicate_counts(spark.createDataFrame(rows, TRIPLES), list(PREDICATES)).collect()}
+    assert got == {p: (n, len(ss), len(oo), last) for p, (n, ss, oo, last) in want.items()}
+
+
+
+def test_whole_graph_queries_store_no_triples(spark, monkeypatch):
+    from graphspark.plans import catalog, fixture
+
+    def refuse(*_, **__):
+        raise AssertionError("stored")
+
+    monkeypatch.setattr(fixture, "stored", refuse)
+    for name in ("triples_all",):
+        catalog.queries()[name](spark, "/root/testdata/sf0.001")
+
+
+def test_plain_triples_hash_to_the_stored_ones(spark):
+    from pyspark.sql import functions as F
+
+    from graphspark.functions.ids import hashed
+    from graphspark.plans import fixture
+
+    sf = "/root/testdata/sf0.001"
+    plain = fixture.plain(spark, sf).select("seq", hashed(F.col("s")).alias("s"), "p", "o_kind", hashed(F.col("o_id")).alias("o_id"), "o_value")
+    there = fixture.triples(spark, sf)
+    assert plain.count() == there.count() and plain.exceptAll(there).count() == 0
