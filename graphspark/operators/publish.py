@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import literal_id
@@ -12,14 +14,6 @@ from ..storage import stored
 FAR = 1 << 30
 
 
-def graphml_nodes(triples: DataFrame) -> DataFrame:
-    """(key, kind, label): entities and literals, once each; equal literals of different predicates are one node."""
-    entities = triples.select(F.col("s").alias("id")).union(triples.filter("o_kind = 'E'").select("o_id")).distinct()
-    values = triples.filter("o_kind = 'L'").select(F.coalesce("o_value", F.lit("")).alias("v")).distinct()
-    own = entities.select(F.concat(F.lit("entity:"), "id").alias("key"), F.lit("entity").alias("kind"), F.col("id").alias("label"))
-    return own.union(values.select(literal_id(F.col("v")).alias("key"), F.lit("literal").alias("kind"), F.col("v").alias("label")))
-
-
 def ranked(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """df with dense positions 1, 2, ... in a total order, without a single-task sort.
 
@@ -34,16 +28,42 @@ def ranked(df: DataFrame, order: list[str], out: str) -> DataFrame:
     return inside.join(F.broadcast(before), "_part").withColumn(out, F.col("_place") + F.col("_before")).drop("_part", "_place", "_before")
 
 
-def numbered_nodes(triples: DataFrame) -> DataFrame:
-    nodes = ranked(graphml_nodes(triples), ["key"], "n")
-    return nodes.select(F.format_string("n%06d", "n").alias("node_id"), "key", "kind", "label")
+def _bucket(key: Column) -> Column:
+    """The start of a node's key, up to three characters of its hash: rises with the key, and is known without a sort."""
+    return F.regexp_extract(key, "(?s)^[^:]*:([^:]*:)?.{0,3}", 0)
 
 
-def numbered_edges(triples: DataFrame) -> DataFrame:
-    """One edge per triple, ordered by subject, predicate, object and seq."""
-    target = F.when(F.col("o_kind") == "E", F.concat(F.lit("entity:"), "o_id")).otherwise(literal_id(F.coalesce("o_value", F.lit(""))))
-    edges = triples.select("seq", F.concat(F.lit("entity:"), "s").alias("source"), F.col("p").alias("predicate"), target.alias("target"))
-    return ranked(edges, ["source", "predicate", "target", "seq"], "n").select(F.format_string("e%06d", "n").alias("edge_id"), "source", "predicate", "target", "seq")
+def _numbered(rows: DataFrame, keys: DataFrame, order: list[str], out: str) -> DataFrame:
+    """rows with dense positions in a total order that begins with their `bucket`; keys has the bucket of every row.
+
+    Buckets are counted first (one row each), so that sorted rows need not be stored to be numbered.
+    """
+    sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("bucket", F.coalesce(F.sum("_n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
+    return placed.join(F.broadcast(before), "bucket").withColumn(out, F.col("_place") + F.col("_before"))
+
+
+def numbered_nodes(triples: DataFrame, id_of: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """Nodes by key. Where the triples' ids stand for others, id_of gives these, after nodes are made distinct and dealt."""
+    ends = F.array(F.struct(F.lit("entity").alias("kind"), F.col("s").alias("v")), F.struct(F.when(F.col("o_kind") == "E", "entity").otherwise("literal").alias("kind"), F.when(F.col("o_kind") == "E", F.col("o_id")).otherwise(F.coalesce("o_value", F.lit(""))).alias("v")))
+    nodes = triples.select(F.explode(ends).alias("x")).select("x.*").distinct()
+    label = F.when(F.col("kind") == "entity", id_of(F.col("v"))).otherwise(F.col("v"))
+    key = F.when(F.col("kind") == "entity", F.concat(F.lit("entity:"), id_of(F.col("v")))).otherwise(literal_id(F.col("v")))
+    dealt = stored(nodes.withColumn("bucket", _bucket(key)), "nodes")
+    # The hash is taken again on the far side, which is cheaper than to carry it there.
+    found = _numbered(dealt.repartition("bucket").withColumn("key", key), dealt, ["key"], "n")
+    return found.select(F.format_string("n%06d", "n").alias("node_id"), "key", "kind", label.alias("label"))
+
+
+def numbered_edges(triples: DataFrame, id_of: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """One edge per triple, ordered by subject, predicate, object and seq; id_of as for numbered_nodes()."""
+    source = F.concat(F.lit("entity:"), id_of(F.col("s")))
+    target = F.when(F.col("o_kind") == "E", F.concat(F.lit("entity:"), id_of(F.col("o_id")))).otherwise(literal_id(F.coalesce("o_value", F.lit(""))))
+    dealt = triples.withColumn("bucket", _bucket(source))
+    edges = dealt.repartition("bucket").withColumns({"source": source, "target": target}).select("bucket", "source", F.col("p").alias("predicate"), "target", "seq")
+    found = _numbered(edges, dealt.select("bucket"), ["source", "predicate", "target", "seq"], "n")
+    return found.select(F.format_string("e%06d", "n").alias("edge_id"), "source", "predicate", "target", "seq")
 
 
 def diagnostics_by_code(diagnostics: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ def test_whole_graph_queries_store_no_triples(spark, monkeypatch):
         raise AssertionError("stored")
 
     monkeypatch.setattr(fixture, "stored", refuse)
-    for name in ("triples_all", "methods_table"):
+    for name in ("triples_all", "methods_table", "graphml_nodes"):
         catalog.queries()[name](spark, "/root/testdata/sf0.001")
 
 
