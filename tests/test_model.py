@@ -171,7 +171,7 @@ def test_whole_graph_queries_store_no_triples(spark, monkeypatch):
         raise AssertionError("stored")
 
     monkeypatch.setattr(fixture, "stored", refuse)
-    for name in ("triples_all", "methods_table", "graphml_nodes"):
+    for name in ("triples_all", "methods_table", "graphml_nodes", "graphml_edges"):
         catalog.queries()[name](spark, "/root/testdata/sf0.001")
 
 
@@ -185,3 +185,19 @@ def test_plain_triples_hash_to_the_stored_ones(spark):
     plain = fixture.plain(spark, sf).select("seq", hashed(F.col("s")).alias("s"), "p", "o_kind", hashed(F.col("o_id")).alias("o_id"), "o_value")
     there = fixture.triples(spark, sf)
     assert plain.count() == there.count() and plain.exceptAll(there).count() == 0
+
+
+def test_nodes_and_edges_are_numbered_in_order_whatever_the_ids(spark):
+    """Ids without a colon, with short or equal starts, and one subject of many triples."""
+    from graphspark.operators.publish import numbered_edges, numbered_nodes
+    from graphspark.schema import TRIPLES
+
+    names = ["a", "a\nb", "a\x01z", "ab", "ab:", "ab:0", "ab:00zz", "abc:0", "abc:000", "b:éé", "file:1"]
+    rows = [(i, s, "core:calls", "E", o, None) for i, (s, o) in enumerate((s, o) for s in names for o in names)] + [(1000 + i, "file:1", "core:hasName", "L", None, f"v{i % 40}" if i % 9 else None) for i in range(200)]
+    t = spark.createDataFrame(rows, TRIPLES)
+    nodes = numbered_nodes(t).collect()
+    assert [r.key for r in sorted(nodes, key=lambda r: r.node_id)] == sorted({r.key for r in nodes}, key=str.encode)
+    assert sorted(r.node_id for r in nodes) == [f"n{i:06d}" for i in range(1, len(nodes) + 1)] and len(nodes) == len(names) + 41
+    edges = sorted(numbered_edges(t).collect(), key=lambda r: r.edge_id)
+    assert [r.edge_id for r in edges] == [f"e{i:06d}" for i in range(1, len(rows) + 1)]
+    assert [r.seq for r in edges] == [r.seq for r in sorted(edges, key=lambda r: (r.source.encode(), r.predicate.encode(), r.target.encode(), r.seq))]
