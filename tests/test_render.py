@@ -61,3 +61,22 @@ def test_latest_values_of_a_stream(spark, tmp_path):
     done = stream.writeStream.outputMode("complete").format("memory").queryName("latest").trigger(availableNow=True).start()
     done.awaitTermination(60)
     assert [tuple(r) for r in spark.table("latest").collect()] == [("e", "core:hasName", "new", 5)]
+
+
+def test_unknown_page_is_its_lines_in_order(spark):
+    """The lines as rows lay out the page; no row or array holds them all."""
+    paths, flat, _ = _frames(spark)
+    more = flat.drop("package_id").withColumns({"reference": F.concat(F.lit("X."), "method_id"), "attribution_reason": F.lit("no_project_scoped_match"), "resolution_reason": F.lit(None).cast("string")})
+    body = more.filter("method_id = 'b'").withColumn("uses", F.lit(7).cast("long"))
+    lines = render.unknown_lines(more.withColumn("part", F.lit("D")).unionByName(body.withColumn("part", F.lit("R"))), paths, "part")
+    found = {s: [r.line for r in lines.filter(F.col("section") == s).orderBy(*render.ORDER).collect()] for s in "DR"}
+    page = render.unknown_page(more, body, paths, "r").first().markdown.split("\n## ")
+    assert [p.split("\n")[1:] for p in page[1:]] == [[*found["D"], ""], found["R"]] and len(found["D"]) == 7 and len(found["R"]) == 3
+    assert found["R"][2] == "    - [[methods/b|Cart.B()]] -> `X.b` (attribution: no_project_scoped_match) (7)"
+
+
+def test_unknown_page_query_makes_no_row_of_the_whole_page(spark):
+    from graphspark.plans import catalog
+
+    plan = catalog.queries()["unknown_page"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "split(" not in plan
