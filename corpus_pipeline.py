@@ -18,7 +18,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """One document of each group of near-duplicates: pairs by SimHash and, beyond its radius, MinHash, judged by five-word Jaccard similarity of 0.8 or more."""
     return simhash.keep_one_each(docs, groups=jaccard.similar_groups)
 
 

@@ -1,10 +1,11 @@
 """Groups of texts whose sets of word shingles have a Jaccard similarity of at least `least`.
 
-Texts of equal sets are one member. MinHash bands propose pairs (BANDS of ROWS values: a pair at 0.8 meets in no
-band once in 7 million pairs), and each pair proposed is judged on the full sets, so no link is an estimate. A
-first round links a bucket's members to its smallest one, which settles buckets of copies in linear work;
-a second compares, in buckets still of several groups, all pairs across groups. That is quadratic only in
-members that share a band without being similar; none is dropped.
+Texts of equal sets are one member. Pairs are proposed by SimHash (fingerprints of the shingles within op2's radius,
+by its covering masks) and, since similar texts mostly differ by more bits than that, also by MinHash bands
+(BANDS of ROWS values: a pair at 0.8 meets in no band once in 7 million pairs). Each pair proposed is judged on
+the full sets, so no link is an estimate. A first round judges SimHash's pairs and links a bucket's members to its
+smallest one, which settles groups of copies in linear work; a second compares, in buckets still of several
+groups, all pairs across groups. That is quadratic only in members that share a band without being similar; none is dropped.
 
 Nulls and edge cases: null, empty and blank texts have the empty set and are one group; texts shorter than a
 shingle are one shingle.
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
+from .simhash import fingerprint, near_pairs
 
 BANDS, ROWS = 40, 5
 _AT_ONCE = 1 << 10
@@ -54,8 +56,9 @@ def _sketched(width: int):
         for batch in batches:
             sets = [shingles(text.as_py(), width) for text in batch.column(1).cast(pa.binary())]
             ids = np.array([xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
+            prints = np.concatenate([np.zeros(0, dtype="<u8"), *(fingerprint(s) for s in sets)]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["key", "member", "n", "bands"]
+                [batch.column(0), pa.array(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["key", "member", "n", "fp", "bands"]
             )
 
     return run
@@ -83,14 +86,29 @@ def _similar(least: float):
     return run
 
 
+def simhash_pairs(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b, m, n) of members (member, n, fp) that SimHash links: of equal fingerprints each with the smallest, of near ones the smallest of each; a < b."""
+    first = prints.groupBy("fp").agg(F.min(F.struct("member", "n")).alias("first"))
+    same = prints.join(first, "fp").filter("member <> first.member").select(F.col("first.member").alias("a"), F.col("member").alias("b"), F.col("first.n").alias("m"), "n")
+    near = near_pairs(first.select("fp"))
+    for c in ("a", "b"):
+        near = near.join(first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")), c)
+    lesser, greater = F.least("_a", "_b"), F.greatest("_a", "_b")
+    return same.union(near.select(lesser["member"].alias("a"), greater["member"].alias("b"), lesser["n"].alias("m"), greater["n"].alias("n")))
+
+
 def similar_groups(keyed: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(key, root) for every distinct text of keyed (key, text): texts linked by similarity share the root."""
-    sketches = materialize(keyed.mapInArrow(_sketched(width), f"{_KEY}, member long, n long, bands array<long>"), "jaccard-sketches")
+    sketches = materialize(keyed.mapInArrow(_sketched(width), f"{_KEY}, member long, n long, fp long, bands array<long>"), "jaccard-sketches")
+    near = F.least("m", "n") >= F.lit(least) * F.greatest("m", "n") - 1e-9
+    prints = materialize(sketches.groupBy("member").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("fp").alias("fp")), "jaccard-prints")
+    proposed = materialize(simhash_pairs(prints.select("member", "n", "fp")).filter(near).select("a", "b"), "jaccard-simhash")
     one = sketches.groupBy("member").agg(F.min(F.struct("key", "n", "bands")).alias("s")).select("member", "s.n", "s.key", F.explode("s.bands").alias("band"))
     one = materialize(one, "jaccard-bands")
     buckets = one.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("member", "n")).alias("first")).filter("size > 1")
     met = materialize(one.join(buckets, "band").select("band", "member", "n", "key", "first"), "jaccard-met")
-    wanted = met.select("member", "key").distinct()
+    ends = proposed.select(F.explode(F.array("a", "b")).alias("member")).distinct()
+    wanted = met.select("member", "key").union(prints.join(ends, "member").select("member", "key")).distinct()
     texts = keyed.join(wanted, "key").dropDuplicates(["member"]).select("member", "text")
     sets = materialize(texts.mapInArrow(_sets(width), "member long, set binary"), "jaccard-sets")
 
@@ -99,9 +117,8 @@ def similar_groups(keyed: DataFrame, width: int = 5, least: float = 0.8) -> Data
         rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
         return rows.mapInArrow(_similar(least), "a long, b long")
 
-    near = F.least("m", "n") >= F.lit(least) * F.greatest("m", "n") - 1e-9
     starred = met.filter("member <> first.member").select(F.col("first.member").alias("a"), F.col("member").alias("b"), F.col("first.n").alias("m"), "n").filter(near)
-    starred = materialize(starred.select("a", "b").distinct(), "jaccard-starred")
+    starred = materialize(starred.select("a", "b").union(proposed).distinct(), "jaccard-starred")
     links = materialize(judged(starred), "jaccard-links")
     roots = components(links)
     rooted = met.select("band", "member", "n").join(roots.select(F.col("node").alias("member"), "root"), "member", "left").withColumn("root", F.coalesce("root", "member"))

@@ -33,6 +33,15 @@ RADIUS = 2
 PAIRS_UP_TO = 32
 
 
+def fingerprint(hashes: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """The fingerprint, an array of one unsigned number, of 64-bit hashes: a bit is set if it is in over half of them."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), step):
+        part = np.asarray(hashes[at : at + step], dtype="<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+
+
 def _fingerprints(width: int, seed: int):
     from xxhash import xxh64_intdigest
 
@@ -55,13 +64,6 @@ def _fingerprints(width: int, seed: int):
             out[full] = np.packbits(counts * 2 > sizes[full, None], axis=1, bitorder="little").view("<u8")[:, 0]
         return out
 
-    def long_text(all_hashes: list[int], step: int = 1 << 17) -> np.ndarray:
-        counts = np.zeros(BITS, dtype=np.int64)
-        for at in range(0, len(all_hashes), step):
-            part = np.array(all_hashes[at : at + step], dtype="<u8")
-            counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        return np.packbits(counts * 2 > len(all_hashes), bitorder="little").view("<u8")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done: list[np.ndarray] = []
@@ -73,7 +75,7 @@ def _fingerprints(width: int, seed: int):
                     done.append(majority(held))
                     held, total = [], 0
                 if len(found) > 1 << 17:
-                    done.append(long_text(found))
+                    done.append(fingerprint(found))
                 else:
                     held.append(found)
                     total += len(found)

@@ -76,3 +76,27 @@ def test_stages_on_empty_tables(spark, outputs):
     docs = outputs[0][0].filter("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_simhash_proposes_pairs_in_the_stage(spark, outputs, monkeypatch):
+    """Without any MinHash band, long texts with one word changed are still one group; far texts are not."""
+    from graphspark.llm import jaccard, simhash
+
+    base = " ".join(f"w{i}" for i in range(6000))
+    texts = [base, base.replace("w900 ", "x "), base.replace("w4000 ", "y "), " ".join(f"v{i}" for i in range(6000)), "", "short"]
+    rows = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], outputs[1][0].schema)
+    prints = [int(simhash.fingerprint(jaccard.shingles(t.encode(), 5))[0]) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= simhash.RADIUS and (prints[0] ^ prints[2]).bit_count() <= simhash.RADIUS
+    sketched = jaccard._sketched
+
+    def without_bands(width):
+        import pyarrow as pa
+
+        def run(batches):
+            for b in sketched(width)(batches):
+                yield b.set_column(4, "bands", pa.array([[]] * b.num_rows, pa.list_(pa.int64())))
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_sketched", without_bands)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, SF).collect()) == [0, 3, 4, 5]
