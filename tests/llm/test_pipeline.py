@@ -100,3 +100,56 @@ def test_simhash_proposes_pairs_in_the_stage(spark, outputs, monkeypatch):
 
     monkeypatch.setattr(jaccard, "_sketched", without_bands)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, rows, SF).collect()) == [0, 3, 4, 5]
+
+
+def _edited(words: list[str], places: list[int], mark: str) -> list[str]:
+    """words with those at `places` replaced by new ones."""
+    out = list(words)
+    for p in places:
+        out[p] = f"{mark}x{p}"
+    return out
+
+
+@pytest.mark.parametrize("more", [False, True])
+def test_edited_copies_of_one_text_are_not_all_compared(spark, outputs, monkeypatch, more):
+    """Many edited copies, most similar but not similar enough: groups equal brute force. Where few texts share an edit, under a fifth of the pairs are judged."""
+    import random
+
+    from graphspark.llm import jaccard
+
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    texts = [_edited(base, rng.sample(range(150), k % 12), f"t{k}") for k in range(360)]
+    # Far from the base but near each other: by shingles that few have.
+    for k in range(12):
+        own = _edited(base, rng.sample(range(150), 9), f"u{k}")
+        texts += [own, _edited(own, [k], f"v{k}"), _edited(own, [k + 70], f"z{k}")]
+    # By shingles that many have.
+    for k in range(2 * more):
+        own = _edited(base, rng.sample(range(150), 9), f"many{k}")
+        texts += [_edited(own, rng.sample(range(150), j % 5), f"m{k}j{j}") for j in range(30)]
+    # Removed words leave only shingles that others have; shorter texts differ in size.
+    if more:
+        texts += [base[: 150 - 3 * k] for k in range(1, 14)] + [base[5 * k :] for k in range(1, 9)] + [base[: 20 * k] + base[20 * k + 12 :] for k in range(1, 7)]
+    rng.shuffle(texts)
+    rows = {i: " ".join(t) for i, t in enumerate(texts)}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows.items()], outputs[1][0].schema)
+    judged, similar = spark.sparkContext.accumulator(0), jaccard._similar
+
+    def counting(least):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    judged.add(batch.num_rows)
+                    yield batch
+
+            yield from similar(least)(seen())
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_similar", counting)
+    want = _similar_groups(rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == sorted(want)
+    assert 100 < len(want) < len(texts) - 100 and judged.value > 0
+    if not more:
+        assert judged.value < len(texts) ** 2 // 10, (judged.value, len(texts))
