@@ -187,6 +187,18 @@ def test_url_verdicts(spark):
     assert urlfilter.filter_urls(table.filter("false")).count() == 0
 
 
+def test_site_rules_have_the_words_of_the_contract(spark):
+    # The contract's list in full, not urlfilter.SITES: each rule by a URL that it alone decides or, as the longest, overrules another.
+    wanted = [
+        ("http://com/en/1", "com/en/", "block"), ("http://shop.example.com/en/8", "com/en/", "block"), ("http://example.com/en/7", "example.com/en/7", "allow"), ("http://a.example.com/en/71", "example.com/en/7", "allow"),
+        ("http://net/de/", "net/de/", "allow"), ("http://x.net/de/81/ads/", "net/de/", "allow"), ("http://example.net/de/7", "net/de/", "allow"), ("http://example.net/de/8", "example.net/de/8", "block"),
+        ("http://a.example.net/de/8/press/", "example.net/de/8", "block"), ("http://x.org/es/1", "org/es/", "block"), ("http://x.org/press/", None, "allow"), ("http://x.net/ads/", None, "block"),
+    ]
+    pages = spark.createDataFrame([(i, u) for i, (u, _, _) in enumerate(wanted)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.filter_urls(pages).collect()}
+    assert got == {i: (rule, verdict) for i, (_, rule, verdict) in enumerate(wanted)}
+
+
 def test_rules_sit_under_their_rarest_token():
     rules = urlfilter.rules_of([("example.com/en/7", "allow")], [("*", "block"), ("^ads^", "block")])
     index = urlfilter.Index(rules, {"example": 90, "com": 100, "en": 5, "ads": 1})
