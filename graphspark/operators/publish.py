@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import literal_id
+from ..functions.ids import hashed, literal_id
 from ..schema import is_a
 from ..storage import stored
 
@@ -66,6 +67,58 @@ def numbered_edges(triples: DataFrame, id_of: Callable[[Column], Column] = lambd
     return found.select(F.format_string("e%06d", "n").alias("edge_id"), "source", "predicate", "target", "seq")
 
 
+def numbered_bundles(bundles: list, rows_each: int = 800_000) -> DataFrame:
+    """The edges of numbered_edges() from bundles of facts that are still to be written out (fixture.Bundle), nulls last.
+
+    A bundle's row is dealt by the start of its subject's key and its edges are made where they are sorted. There are as many
+    partitions as leave about rows_each edges to one, so that it is sorted in memory.
+    """
+    types = sorted({b.type for b in bundles}, key=lambda t: f"{t}:")
+    longs = sorted({c for b in bundles for c in b.rows.columns if c[0] == "n"})
+    texts = sorted({c for b in bundles for c in b.rows.columns if c[0] == "s"})
+
+    def sha(t: str, key: str) -> str:
+        return f"sha2(CAST('{t}:' || {key} AS BINARY), 256)"
+
+    def dealt(view: str) -> DataFrame:
+        """A row for each row and subject of a view that has facts, with their number."""
+        ours = [(i, b) for i, b in enumerate(bundles) if b.view == view]
+        columns = ours[0][1].rows.columns
+        rows = ours[0][1].rows
+        if ours[0][1].about:  # read twice; once stored, the shuffles of its joins are done with
+            rows = stored(rows, view)
+        ends = []
+        for i, b in ours:
+            # Three digits of the hash; a key of null comes last.
+            start = f"coalesce({types.index(b.type)} * 4096 + CAST(conv(substr({sha(b.type, b.subject)}, 1, 3), 16, 10) AS INT), {len(types) * 4096})"
+            ends.append(f"named_struct('bucket', {start}, 'bundle', {i}, 'many', {' + '.join(f'CASE WHEN {f[0]} THEN 1 ELSE 0 END' if f[0] else '1' for f in b.facts)})")
+        rest = [c if c in columns else f"CAST(NULL AS {'BIGINT' if c[0] == 'n' else 'STRING'}) AS {c}" for c in longs + texts]
+        return rows.selectExpr(f"inline(array({', '.join(ends)}))", *rest).filter("many > 0")
+
+    def fact(f: tuple) -> str:
+        where, p, target, value, seq = f
+        made = f"named_struct('predicate', 'core:{p}', 'entity', {str(target is not None).lower()}, 'v', CAST({f"'{target}:' || " if target else ""}{value} AS STRING), 'seq', {seq})"
+        return f"CASE WHEN {where} THEN {made} END" if where else made
+
+    def chosen(made: list[str]) -> str:
+        return "CASE " + " ".join(f"WHEN bundle = {i} THEN {x}" for i, x in enumerate(made)) + " END"
+
+    every = reduce(DataFrame.unionByName, [dealt(v) for v in dict.fromkeys(b.view for b in bundles)])
+    sizes = every.groupBy("bucket").agg(F.sum("many").alias("_n"))
+    before = sizes.select("bucket", F.coalesce(F.sum("_n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    parts = max(int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(b.about for b in bundles) // rows_each + 1)
+    source = f"'entity:' || {chosen([repr(b.type) for b in bundles])} || ':' || sha2(CAST({chosen([f"'{b.type}:' || {b.subject}" for b in bundles])} AS BINARY), 256) AS source"
+    # All facts together are too much for one generated method. The function on an array, never true, keeps this step out of whole-stage code, so that its code is split.
+    facts = chosen([f"array({', '.join(map(fact, b.facts))})" for b in bundles]).replace("CASE ", "CASE WHEN exists(array(bundle), x -> x < 0) THEN NULL ", 1)
+    made = every.repartition(parts, "bucket").selectExpr("bucket", source, f"{facts} AS facts").select("bucket", "source", F.explode("facts").alias("e")).filter("e IS NOT NULL").select("bucket", "source", "e.*")
+    target = F.when(F.col("entity"), F.concat(F.lit("entity:"), hashed(F.col("v")))).otherwise(literal_id(F.coalesce("v", F.lit(""))))
+    made = made.select("bucket", "source", "predicate", target.alias("target"), "seq")
+    order = [F.asc_nulls_last(c) for c in ("source", "predicate", "target", "seq")]
+    placed = made.withColumn("_place", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
+    found = placed.join(F.broadcast(before), "bucket").withColumn("n", F.col("_place") + F.col("_before"))
+    return found.select(F.format_string("e%06d", "n").alias("edge_id"), "source", "predicate", "target", "seq")
+
+
 def diagnostics_by_code(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.groupBy("code").agg(F.count(F.lit(1)).alias("count"))
 

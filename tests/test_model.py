@@ -201,3 +201,20 @@ def test_nodes_and_edges_are_numbered_in_order_whatever_the_ids(spark):
     edges = sorted(numbered_edges(t).collect(), key=lambda r: r.edge_id)
     assert [r.edge_id for r in edges] == [f"e{i:06d}" for i in range(1, len(rows) + 1)]
     assert [r.seq for r in edges] == [r.seq for r in sorted(edges, key=lambda r: (r.source.encode(), r.predicate.encode(), r.target.encode(), r.seq))]
+
+
+def test_edges_are_dealt_as_packed_rows_of_views_not_as_texts(spark):
+    from graphspark.plans import catalog
+
+    plan = catalog.queries()["graphml_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "bundle" in plan and "o_value" not in plan
+
+
+def test_packed_numbers_come_back(spark):
+    from graphspark.plans.fixture import Packing
+
+    p = Packing({"a": 0, "b": 7, "c": (1 << 40) - 1, "d": 1 << 30}, "n")
+    rows = [(0, 7, (1 << 40) - 1, 1 << 30), (None, 0, None, 5), (0, None, 3, None)]
+    df = spark.createDataFrame(rows, "a int, b long, c long, d long").selectExpr(*p.packed())
+    assert df.columns == p.longs == ["n0", "n1"]
+    assert [tuple(r) for r in df.selectExpr(*p.unpacked().values()).collect()] == rows
